@@ -371,4 +371,6 @@ def with_views(body: str) -> str:
     ctes = ",\n".join(
         f"{n} as {'' if n in RECURSIVE else 'materialized '}({VIEWS[n].strip()})" for n in needed
     )
-    return f"with recursive {ctes}\n{body.strip()}"
+    body = body.strip()
+    rest = f",\n{body[5:]}" if body.startswith("with ") else f"\n{body}"
+    return f"with recursive {ctes}{rest}"
