@@ -131,32 +131,32 @@ def _total(df: DataFrame, order: Sequence[Column]) -> list[Column]:
     return [*order, *rest]
 
 
-def value_counts_before(
-    df: DataFrame, keys: Sequence[str], value: str, *, descending: bool, cuts: int = 1024
-) -> DataFrame:
-    """Per distinct (key, value): how many rows of the key come strictly before it.
+def by_value(rows: DataFrame, keys: Sequence[str], value: str, *, descending: bool = False, cuts: int = 1024):
+    """Add ``_slot``, equal-width ranges of ``value`` between its key's extremes.
 
-    Rows are first collapsed to distinct values (map-side combine).  Values are cut
-    into equal-width ranges between the key's exact minimum and maximum, so a large
-    key is ranked by many tasks.
+    Slots follow the (ascending or descending) order of the value, so a key is ranked
+    by many tasks.  Callers collapse rows to distinct values first.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    span = df.groupBy(*keys).agg(
+    span = rows.groupBy(*keys).agg(
         F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")
     )
-    sign = -1.0 if descending else 1.0
     position = F.when(
-        F.col("_hi") > F.col("_lo"),
-        (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")),
+        F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     ).otherwise(F.lit(0.0))
-    ranged = counts.join(span, keys) if keys else counts.crossJoin(F.broadcast(span))
-    ranged = ranged.withColumn("_slot", F.floor(position * F.lit(sign * cuts)).cast("long"))
-    scope = keys
-    if not keys:
-        ranged, scope = ranged.withColumn("_all", F.lit(0)), ["_all"]
+    sign = -1.0 if descending else 1.0
+    return (
+        rows.join(span, keys)
+        .withColumn("_slot", F.floor(position * F.lit(sign * cuts)).cast("long"))
+        .drop("_lo", "_hi")
+    )
+
+
+def counts_before(df: DataFrame, keys: Sequence[str], value: str, *, descending: bool = False) -> DataFrame:
+    """Per distinct (key, value): ``n`` rows have it and ``before`` rows come first."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     order = F.col(value).desc() if descending else F.col(value).asc()
     return running(
-        ranged.drop("_lo", "_hi"), scope, F.col("_slot"), [order],
+        by_value(counts, keys, value, descending=descending), keys, F.col("_slot"), [order],
         before=Running("sum", F.col("n")),
-    ).drop("_slot", "_all")
+    ).drop("_slot")
