@@ -35,4 +35,5 @@ def load() -> None:
         lifecycle,
         moments,
         scalars,
+        streams,
     )

@@ -20,12 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/clipstride/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, so a lost executor repeats only what follows, and keeps plans
     that use a result several times from computing it several times.
     """
-    path = f"{shared_folder(df.sparkSession)}/clipstride/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

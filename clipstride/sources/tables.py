@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,16 @@ def read_by_job(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, job_bucket int").parquet(path).drop("job_bucket")
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or no rows before its first batch is written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def replace_jobs(rows: DataFrame, jobs: DataFrame, path: str, schema: str, buckets: int = BUCKETS) -> None:
     """Replace everything stored for ``jobs(job_id)`` by ``rows``; others stay.
 
@@ -32,12 +43,7 @@ def replace_jobs(rows: DataFrame, jobs: DataFrame, path: str, schema: str, bucke
     spark = rows.sparkSession
     ids = jobs.select("job_id").distinct().withColumn("job_bucket", job_bucket(buckets))
     fresh = rows.join(ids.select("job_id"), "job_id", "left_semi").withColumn("job_bucket", job_bucket(buckets))
-    try:
-        stored = spark.read.schema(f"{schema}, job_bucket int").parquet(path)
-    except Exception as exc:  # the first batch creates the table
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        stored = spark.createDataFrame([], f"{schema}, job_bucket int")
+    stored = read_or_empty(spark, path, f"{schema}, job_bucket int")
     touched = ids.select("job_bucket").distinct()
     kept = stored.join(touched, "job_bucket", "left_semi").join(ids.select("job_id"), "job_id", "left_anti")
     result = written(kept.unionByName(fresh.select(*kept.columns)))
