@@ -179,7 +179,7 @@ class Tables:
         at = F.col("decided_at")
         kind = (F.col("n") % 3 + 1).cast("int")
         state = ((F.col("l_partkey") + F.col("n")) % 7 + 1).cast("int")
-        return c.select(
+        return written(c.select(
             F.col("candidate_id").alias("task_id"), "job_id",
             F.element_at(F.array(*map(F.lit, TASK_TYPES)), kind).alias("task_type"),
             F.element_at(F.array(*map(F.lit, TASK_STATES)), state).alias("status"),
@@ -192,7 +192,7 @@ class Tables:
             F.when(state.isin(2, 3), at + F.make_dt_interval(hours=F.lit(6))).alias("claimed_at"),
             F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("f"), (F.col("l_partkey") % 10).cast("string")))
             .alias("failure_message"),
-        )
+        ))
 
     @cached_property
     def executions(self) -> DataFrame:

@@ -240,7 +240,7 @@ add_view("axes_chat", """
     from moments m left join chat c on c.job_id = m.job_id
      and offset_sec between (start_sec + end_sec) / 2 - 30 and (start_sec + end_sec) / 2 + 30 group by all""")
 add_view("axes_audio", """
-    select m.job_id, moment_id as candidate_id, coalesce(round(avg(rms_db), 6), -99e0) as mean_db
+    select m.job_id, moment_id as candidate_id, coalesce(round(sum(rms_db::decimal(18, 6))::double / count(rms_db), 6), -99e0) as mean_db
     from moments m left join loudness c on c.job_id = m.job_id and rms_db > -99
      and time_sec between (start_sec + end_sec) / 2 - 30 and (start_sec + end_sec) / 2 + 30 group by all""")
 

@@ -33,13 +33,16 @@ def chat_density(centres: DataFrame, chat: DataFrame, half: float = HALF_WINDOW_
 def mean_loudness(
     centres: DataFrame, loudness: DataFrame, half: float = HALF_WINDOW_SEC, floor_db: float = SILENCE_FLOOR_DB
 ) -> DataFrame:
-    """Add ``mean_db`` over the audible samples around each centre; the floor if none."""
+    """Add ``mean_db`` over the audible samples around each centre; the floor if none.
+
+    Levels are summed as decimals: differences of running sums stay exact.
+    """
     audible = loudness.where(F.col("rms_db") > floor_db)
     found = points_within(
         centres, audible, ["job_id"], "centre_sec", "time_sec", half,
-        _db=F.col("rms_db"), _n=F.lit(1).cast("long"),
+        _db=F.col("rms_db").cast("decimal(18,6)"), _n=F.lit(1).cast("long"),
     )
-    mean = F.when(F.col("_n") > 0, F.round(F.col("_db") / F.col("_n"), 6)).otherwise(F.lit(floor_db))
+    mean = F.when(F.col("_n") > 0, F.round(F.col("_db").cast("double") / F.col("_n"), 6)).otherwise(F.lit(floor_db))
     return found.withColumn("mean_db", mean).drop("_db", "_n")
 
 

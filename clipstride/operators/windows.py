@@ -168,7 +168,7 @@ def spoken_intervals(segments: DataFrame, keywords: Sequence[str]) -> DataFrame:
 
 _ITEM = {
     "job_id": None, "kind": "string", "start_sec": "double", "end_sec": "double", "seg_start": "double",
-    "seg_end": "double", "prorated": "double", "hits": "long", "rms_db": "double",
+    "seg_end": "double", "prorated": "double", "hits": "long",
 }
 
 
@@ -185,18 +185,34 @@ def _items(df: DataFrame, kind: str, **values: Column) -> DataFrame:
     return df.select(*[column(n, t) for n, t in _ITEM.items()])
 
 
-def _sources(
-    segments: DataFrame, silence: DataFrame | None, loudness: DataFrame | None, keywords: Sequence[str]
-) -> DataFrame:
+def _sources(segments: DataFrame, silence: DataFrame | None, keywords: Sequence[str]) -> DataFrame:
     rows = _items(spoken_intervals(segments, keywords), "speech")
     if silence is not None:
         rows = rows.unionByName(_items(silence, "silence"))
-    if loudness is not None:
-        at = F.col("time_sec")
-        rows = rows.unionByName(_items(loudness, "level", start_sec=at, end_sec=at))
     return rows
 
 
+def loudest_moment(loudness: DataFrame | None, place) -> DataFrame | None:
+    """The loudest sample of each span and its time, the earliest of equal ones.
+
+    Kept apart from the other numbers: comparing pairs needs a sorting aggregate,
+    which the (more numerous) words should not go through.
+    """
+    if loudness is None:
+        return None
+    at = F.col("time_sec")
+    samples = loudness.select("job_id", at.alias("start_sec"), at.alias("end_sec"), "rms_db")
+    best = F.max(F.struct(F.col("rms_db"), (-F.col("start_sec")).alias("neg_time"))).alias("best")
+    return (
+        place(samples).where("start_sec >= w_start and start_sec < w_end")
+        .groupBy("job_id", "window_no", "w_start", "w_end").agg(best)
+        .select(
+            "job_id", "window_no", "w_start", "w_end", F.col("best.rms_db").alias("peak_db"),
+            (-F.col("best.neg_time")).alias("peak_time_sec"),
+        )
+    )
+
+
 def with_runs(items: DataFrame, within: Sequence[str], gap: float = WORD_GAP_SEC) -> DataFrame:
     """Label speech with the run of continuous speech it belongs to, inside ``within``.
 
@@ -240,34 +256,35 @@ def _inside() -> Column:
     )
 
 
-def _measure(touching: DataFrame, across: DataFrame | None) -> DataFrame:
+def _measure(touching: DataFrame, *extra: DataFrame | None) -> DataFrame:
     """Add up what falls into each span: two grouped passes with map-side combine."""
     span = ["job_id", "window_no", "w_start", "w_end"]
     kind = F.col("kind")
     shared = overlap(F.col("start_sec"), F.col("end_sec"), F.col("w_start"), F.col("w_end"))
     said = (kind == "speech") & _inside()
     quiet = (kind == "silence") & (shared > 0)
-    level = (kind == "level") & (F.col("start_sec") >= F.col("w_start")) & (F.col("start_sec") < F.col("w_end"))
     amount = F.coalesce(
         F.col("prorated") * (shared / (F.col("end_sec") - F.col("start_sec"))), F.lit(1.0)
     )
-    rows = touching.where(said | quiet | level | (kind == "span")).select(
+    rows = touching.where(said | quiet | (kind == "span")).select(
         *span, "run",
         F.when(said, amount).alias("words"),
         F.when(said, F.col("hits")).alias("hits"),
         F.when(said, F.greatest("start_sec", "w_start")).alias("said_from"),
         F.when(said, F.least("end_sec", "w_end")).alias("said_to"),
         F.when(quiet, shared).alias("quiet_sec"),
-        F.when(level, F.struct(F.col("rms_db"), (-F.col("start_sec")).alias("neg_time"))).alias("loudest"),
+        F.lit(None).cast("double").alias("peak_db"), F.lit(None).cast("double").alias("peak_time_sec"),
     )
-    if across is not None:
-        rows = rows.unionByName(across, allowMissingColumns=True)
+    for part in extra:
+        if part is not None:
+            rows = rows.unionByName(part, allowMissingColumns=True)
     per_run = rows.groupBy(*span, "run").agg(
         F.sum("words").alias("words"),
         F.sum("hits").alias("hits"),
         (F.max("said_to") - F.min("said_from")).alias("run_sec"),
         F.sum("quiet_sec").alias("quiet_sec"),
-        F.max("loudest").alias("loudest"),
+        F.max("peak_db").alias("peak_db"),
+        F.max("peak_time_sec").alias("peak_time_sec"),
     )
     length = F.col("w_end") - F.col("w_start")
 
@@ -281,7 +298,8 @@ def _measure(touching: DataFrame, across: DataFrame | None) -> DataFrame:
             F.coalesce(F.sum("hits"), F.lit(0)).alias("emotion_hits"),
             F.max("run_sec").alias("run_sec"),
             F.sum("quiet_sec").alias("quiet_sec"),
-            F.max("loudest").alias("loudest"),
+            F.max("peak_db").alias("peak_db"),
+        F.max("peak_time_sec").alias("peak_time_sec"),
         )
         .select(
             *span,
@@ -289,8 +307,8 @@ def _measure(touching: DataFrame, across: DataFrame | None) -> DataFrame:
             share(F.col("quiet_sec")).alias("silence_ratio"),
             "emotion_hits",
             share(F.col("run_sec")).alias("continuity_score"),
-            F.col("loudest.rms_db").alias("peak_db"),
-            (-F.col("loudest.neg_time")).alias("peak_time_sec"),
+            "peak_db",
+            "peak_time_sec",
         )
     )
 
@@ -310,11 +328,13 @@ def span_metrics(
             df, spans, ["job_id"], ("start_sec", "end_sec"), ("w_start", "w_end"), width=width, closed=True
         )
 
-    touching = place(_sources(segments, silence, loudness, keywords))
+    touching = place(_sources(segments, silence, keywords))
     own = spans.select("job_id", "window_no", "w_start", "w_end").withColumn("kind", F.lit("span"))
     runs = with_runs(touching, ["job_id", "window_no"])
     return _measure(
-        runs.unionByName(own, allowMissingColumns=True), phrase_hits(segments, keywords, place)
+        runs.unionByName(own, allowMissingColumns=True),
+        phrase_hits(segments, keywords, place),
+        loudest_moment(loudness, place),
     )
 
 
@@ -327,18 +347,20 @@ def window_metrics(
 ) -> DataFrame:
     """Metrics of every sliding window of every recording.
 
-    Speech, silence and loudness samples are placed on blocks of windows together, so
-    the data is shuffled once; what reaches the grouping is numbers only.
+    Speech and silence are placed on blocks of windows together, so the data is
+    shuffled once; what reaches the grouping is numbers only, added up by hash.
     """
     lengths = durations(segments, silence) if lengths is None else lengths
     whole = _items(lengths, "span", start_sec=F.lit(0.0), end_sec=F.col("duration_sec"))
-    items = _sources(segments, silence, loudness, p.keywords).unionByName(whole)
+    items = _sources(segments, silence, p.keywords).unionByName(whole)
     runs = with_runs(place_on_grid(items, lengths, p), ["job_id", "block"])
 
     def place(df: DataFrame) -> DataFrame:
         return to_windows(place_on_grid(df, lengths, p), p)
 
-    return _measure(to_windows(runs, p), phrase_hits(segments, p.keywords, place))
+    return _measure(
+        to_windows(runs, p), phrase_hits(segments, p.keywords, place), loudest_moment(loudness, place)
+    )
 
 
 def excerpts(spans: DataFrame, segments: DataFrame, width: float = 30.0) -> DataFrame:

@@ -84,7 +84,8 @@ class Watchdog(StatefulProcessor):
                 self.handle.deleteTimer(old[2])
                 self.beat.clear()
             if newest.status in ("CLAIMED", "RUNNING"):
-                due = newest.us // 1000 + self.timeout_sec[newest.task_type] * 1000
+                # Late means strictly later than the timeout, in whole milliseconds.
+                due = newest.us // 1000 + self.timeout_sec[newest.task_type] * 1000 + 1
                 self.handle.registerTimer(due)
                 self.beat.update((newest.us, newest.task_type, due))
         return iter(())
