@@ -12,11 +12,11 @@ from clipstride.functions import lifecycle as lc
 from clipstride.functions.labels import elapsed_label
 from clipstride.operators.scan import Running, running
 
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
-def _day() -> Column:
-    return F.floor(F.col("us") / F.lit(DAY_US)).cast("long")
+def _hour() -> Column:
+    return F.floor(F.col("us") / F.lit(HOUR_US)).cast("long")
 
 
 def _in_order() -> list[Column]:
@@ -35,7 +35,7 @@ def event_timeline(events: DataFrame) -> DataFrame:
     need a whole job in one task.
     """
     seen = F.struct("us", "event_id", "event_type")
-    linked = running(events, ["job_id"], _day(), _in_order(), previous=Running("max", seen))
+    linked = running(events, ["job_id"], _hour(), _in_order(), previous=Running("max", seen))
     place = F.struct("us", "event_id")
     return linked.join(_ends(events), "job_id").select(
         "job_id", "event_id", "us", "event_type",
@@ -96,7 +96,7 @@ def compact_progress(events: DataFrame, progress: str = "WORKER_PROGRESS", final
     """Drop progress that a later change of stage, or an end of the job, made obsolete."""
     is_progress = F.col("event_type") == progress
     updates = events.where(is_progress)
-    before = running(updates, ["job_id"], _day(), _in_order(), before=Running("max", F.struct("us", "event_id", "stage")))
+    before = running(updates, ["job_id"], _hour(), _in_order(), before=Running("max", F.struct("us", "event_id", "stage")))
     changed = F.col("before").isNull() | (F.col("before.stage") != F.col("stage"))
     place = F.struct("us", "event_id")
     since = before.groupBy("job_id").agg(F.max(F.when(changed, place)).alias("since"))
@@ -126,11 +126,11 @@ def throttle_progress(updates: DataFrame, key: str = "job_id", interval_us: int
     folded on its own.  Within it an exact repeat of the last sent update, or one
     sooner than ``interval_us`` after it, is dropped.
     """
-    day = _day()
-    seen = running(updates, [key], day, _in_order(), before=Running("max", F.struct("us", "event_id", "stage")))
+    hour = _hour()
+    seen = running(updates, [key], hour, _in_order(), before=Running("max", F.struct("us", "event_id", "stage")))
     opens = F.col("before").isNull() | (F.col("before.stage") != F.col("stage"))
     stretch = running(
-        seen.withColumn("opens", opens).drop("before"), [key], day, _in_order(),
+        seen.withColumn("opens", opens).drop("before"), [key], hour, _in_order(),
         stretch=Running("max", F.when(F.col("opens"), F.struct("us", "event_id")), inclusive=True),
     )
     item = F.struct("us", "event_id", "percent", "message", "stage")
@@ -150,7 +150,7 @@ def throttle_progress(updates: DataFrame, key: str = "job_id", interval_us: int
 
 def high_water_mark(updates: DataFrame, value: str, key: str = "job_id") -> DataFrame:
     """Pass only values above everything before them (and above 0)."""
-    marked = running(updates, [key], _day(), _in_order(), _mark=Running("max", F.col(value)))
+    marked = running(updates, [key], _hour(), _in_order(), _mark=Running("max", F.col(value)))
     return marked.where(F.col(value) > F.coalesce("_mark", F.lit(0))).drop("_mark")
 
 

@@ -166,17 +166,17 @@ def failure_policy(failing: DataFrame, as_of: Column, summary: Column) -> DataFr
 def ready_queue(tasks: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
     """Queued tasks that may start, with their place in the line of their type.
 
-    Analysis also needs a source.  Places are counted per day of availability, so one
-    long line is numbered by many tasks.
+    Analysis also needs a source.  Places are counted per hour of availability, and for
+    tasks without one per range of ids, so a long line is numbered by many tasks.
     """
     at = F.col("available_at")
     waiting = tasks.where(F.col("status") == "QUEUED").where(at.isNull() | (at <= as_of))
     usable = jobs.where(F.trim(F.col("storage_video_path")) != "").select("job_id")
     analysis = waiting.where("task_type = 'ANALYZE'").join(usable, "job_id", "left_semi")
     ready = waiting.where("task_type <> 'ANALYZE'").unionByName(analysis)
-    never = F.lit(2**31).cast("long")
-    day = F.coalesce(F.unix_date(at.cast("date")).cast("long"), never)
-    placed = ordinal(ready, ["task_type"], day, [at.asc_nulls_last(), F.col("task_id")], "place")
+    hour = F.floor(_seconds(at) / 3600).cast("long")
+    unset = F.lit(2**40).cast("long") + F.floor(F.col("task_id") / 100_000).cast("long")
+    placed = ordinal(ready, ["task_type"], F.coalesce(hour, unset), [at.asc_nulls_last(), F.col("task_id")], "place")
     return placed.select("task_type", "task_id", "job_id", (F.col("place") + 1).alias("place"))
 
 

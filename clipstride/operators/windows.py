@@ -52,7 +52,7 @@ def durations(segments: DataFrame, silence: DataFrame, given: DataFrame | None =
 
 
 def grid(lengths: DataFrame, p: WindowParams) -> DataFrame:
-    """One row per recording that has windows: how many, and where the last one starts."""
+    """Add, where there are windows, how many there are and where the last one starts."""
     last = F.greatest(F.lit(0.0), F.col("duration_sec") - p.window_sec)
     return (
         lengths.where("duration_sec > 0")
@@ -81,19 +81,26 @@ def sliding_windows(lengths: DataFrame, p: WindowParams) -> DataFrame:
 def place_on_grid(items: DataFrame, lengths: DataFrame, p: WindowParams) -> DataFrame:
     """Attach each interval ``[start_sec, end_sec]`` to the blocks of windows it touches.
 
-    Windows are cut into blocks by their start; which blocks an interval reaches
-    follows from arithmetic, so only the recording's length is joined.  About one
-    interval in ``BLOCK_SEC / window`` is repeated in a second block.
+    Windows are cut into blocks by their start, so which blocks an interval reaches
+    follows from arithmetic; about one in ``BLOCK_SEC / window`` is repeated in a
+    second block.  The recording's length arrives in each of its blocks as a row of
+    its own (kind ``span``) instead of by a join, so the data is shuffled once, by
+    (recording, block), however long a recording is.
     """
-    placed = items.join(grid(lengths, p), "job_id")
-    first = F.floor(F.greatest(F.lit(0.0), F.col("start_sec") - p.window_sec) / BLOCK_SEC).cast("long")
-    last = F.floor(F.least(F.col("end_sec"), F.col("last_start")) / BLOCK_SEC).cast("long")
-    return (
-        placed.withColumn("_first", first).withColumn("_last", last)
-        .where("_first <= _last")
-        .withColumn("block", F.explode(F.sequence("_first", "_last")))
-        .drop("_first", "_last")
+    last_start = F.greatest(F.lit(0.0), F.col("duration_sec") - p.window_sec)
+    spans = lengths.where("duration_sec > 0").select(
+        "job_id", F.lit("span").alias("kind"), F.lit(0.0).alias("start_sec"), F.col("duration_sec").alias("end_sec"),
+        "duration_sec", F.lit(0).cast("long").alias("_first"), F.floor(last_start / BLOCK_SEC).cast("long").alias("_last"),
     )
+    reach = items.withColumns({
+        "_first": F.floor(F.greatest(F.lit(0.0), F.col("start_sec") - p.window_sec) / BLOCK_SEC).cast("long"),
+        "_last": F.floor(F.greatest(F.lit(0.0), F.col("end_sec")) / BLOCK_SEC).cast("long"),
+    })
+    placed = reach.unionByName(spans, allowMissingColumns=True).withColumn(
+        "block", F.explode(F.sequence("_first", "_last"))
+    ).drop("_first", "_last")
+    known = F.max("duration_sec").over(Window.partitionBy("job_id", "block"))
+    return grid(placed.withColumn("duration_sec", known), p)
 
 
 def to_windows(placed: DataFrame, p: WindowParams) -> DataFrame:
@@ -351,12 +358,11 @@ def window_metrics(
     shuffled once; what reaches the grouping is numbers only, added up by hash.
     """
     lengths = durations(segments, silence) if lengths is None else lengths
-    whole = _items(lengths, "span", start_sec=F.lit(0.0), end_sec=F.col("duration_sec"))
-    items = _sources(segments, silence, p.keywords).unionByName(whole)
+    items = _sources(segments, silence, p.keywords)
     runs = with_runs(place_on_grid(items, lengths, p), ["job_id", "block"])
 
     def place(df: DataFrame) -> DataFrame:
-        return to_windows(place_on_grid(df, lengths, p), p)
+        return to_windows(place_on_grid(df, lengths, p).where("kind is null"), p)
 
     return _measure(
         to_windows(runs, p), phrase_hits(segments, p.keywords, place), loudest_moment(loudness, place)
