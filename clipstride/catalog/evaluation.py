@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipstride.catalog import query
-from clipstride.catalog.inputs import Tables, add_view
+from clipstride.catalog.inputs import KEYWORDS, Tables, add_view
+from clipstride.catalog.moments import responses
 from clipstride.operators import evaluation as ev
+from clipstride.operators.store import fresh_path
+from clipstride.plans.evaluate import compare_on
+from clipstride.sources.results import Request, freeze, replay
 
 TOLERANCE = 2.0
 
@@ -121,3 +125,38 @@ def context_text(t: Tables) -> DataFrame:
         "job_id", F.col("moment_id").alias("span_id"), ((F.col("start_sec") + F.col("end_sec")) / 2.0).alias("centre_sec")
     )
     return ev.context_text(centres, t.segments, 20.0).select("job_id", F.col("span_id").alias("moment_id"), "context")
+
+
+add_view("routed", """
+    select job_id, start_sec, end_sec, confidence as score from merged where job_id % 3 <> 0
+    union all
+    select job_id, start_sec, end_sec, score from detected
+    where job_id % 3 = 0 or job_id not in (select job_id from moments)""")
+
+
+@query("replay_comparison", """
+    with found as (select 'heuristic' as detector, job_id, start_sec, end_sec from detected
+                   union all select 'hybrid', job_id, start_sec, end_sec from routed),
+    pairs as (select l.source, d.detector, exists (select 1 from found m where m.job_id = l.source and m.detector = d.detector
+                and (l.start_sec + l.end_sec) / 2 between m.start_sec - 2 and m.end_sec + 2) as hit
+              from gt_labels l, (values ('heuristic'), ('hybrid')) d(detector)),
+    wrong as (select detector, job_id as source, not exists (select 1 from gt_labels l where l.source = m.job_id
+                and (l.start_sec + l.end_sec) / 2 between m.start_sec - 2 and m.end_sec + 2) as false_positive from found m)
+    select detector, source, case when count(hit) > 0 then count(*) filter (hit) / count(hit)::double else 0e0 end as hit_rate,
+           count(*) filter (hit) as hits, count(hit) - count(*) filter (hit) as misses,
+           count(*) filter (false_positive) as false_positives, count(hit) as total_labels,
+           count(false_positive) as total_candidates
+    from (select detector, source, hit, null as false_positive from pairs
+          union all select detector, source, null, false_positive from wrong) group by detector, source""")
+def replay_comparison(t: Tables) -> DataFrame:
+    """Frozen inputs of all recordings, read back and run through both detectors."""
+    path = fresh_path(t.spark)
+    keywords = F.array(*map(F.lit, KEYWORDS))
+    params = t.segments.select("job_id").distinct().select(
+        "job_id", F.lit(None).cast("double").alias("duration_sec"), F.lit(30.0).alias("window_duration_sec"),
+        F.lit(None).cast("double").alias("step_sec"), F.lit(None).cast("int").alias("top_n"),
+        F.lit(0.0).alias("min_overlap_ratio"), keywords.alias("emotion_keywords"),
+    )
+    freeze(Request(t.segments, t.silence, t.loudness, params), path)
+    answers = responses(t).withColumn("failed", F.col("job_id") % 3 == 0)
+    return compare_on(replay(t.spark, path), t.gt_labels, answers, KEYWORDS, TOLERANCE)

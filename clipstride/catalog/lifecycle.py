@@ -62,6 +62,25 @@ def job_list(t: Tables) -> DataFrame:
     )
 
 
+@query("children_in_order", """
+    select 'segment' as child, job_id, segment_id as id, start_sec as place from segments
+    union all select 'task', job_id, task_id, epoch(created_at)::double from tasks
+    union all select 'execution', job_id, execution_id, epoch(claimed_at)::double from executions
+    union all select 'event', job_id, event_id, us / 1000000e0 from job_events""")
+def children_in_order(t: Tables) -> DataFrame:
+    def child(rows: DataFrame, name: str, key: str, place) -> DataFrame:
+        return rows.select(F.lit(name).alias("child"), "job_id", F.col(key).alias("id"), place.alias("place"))
+
+    def at(column: str):
+        return F.unix_seconds(F.col(column).cast("timestamp")).cast("double")
+
+    rows = child(t.segments, "segment", "segment_id", F.col("start_sec"))
+    rows = rows.unionByName(child(t.tasks, "task", "task_id", at("created_at")))
+    rows = rows.unionByName(child(t.executions, "execution", "execution_id", at("claimed_at")))
+    rows = rows.unionByName(child(t.job_events, "event", "event_id", F.col("us") / 1000000.0))
+    return op.children_in_order(rows, "child", "place", "id")
+
+
 _W, _A = "('READY_FOR_REVIEW', 'EXPORTING_CLIP', 'COMPLETED')", sql_in(lc.ANALYZE_STAGES)
 add_view("deciding", f"""
     select * from (select *, case status when 'RUNNING' then 3 when 'CLAIMED' then 2 when 'QUEUED' then 1 else 0 end as u,

@@ -38,6 +38,11 @@ def children_of(rows: DataFrame, job_id: int, *order: str) -> DataFrame:
     return rows.where(F.col("job_id") == job_id).orderBy(*order)
 
 
+def children_in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows of all jobs in the same stable order, by a range-partitioned sort."""
+    return rows.orderBy("job_id", *order)
+
+
 # What a task says about its job.
 QUEUED_AS = {"DOWNLOAD": "QUEUED_FOR_DOWNLOAD", "ANALYZE": "QUEUED_FOR_PROCESSING", "EXPORT": "EXPORTING_CLIP"}
 CLAIMED_AS = {"DOWNLOAD": "DOWNLOADING", "ANALYZE": "EXTRACTING_AUDIO", "EXPORT": "EXPORTING_CLIP"}

@@ -45,9 +45,8 @@ def durations(segments: DataFrame, silence: DataFrame, given: DataFrame | None =
         )
     )
     return rows.groupBy("job_id").agg(
-        F.coalesce(
-            F.greatest(F.lit(0.0), F.max("given")), F.max("end_sec"), F.lit(0.0)
-        ).alias("duration_sec")
+        F.when(F.max("given").isNotNull(), F.greatest(F.lit(0.0), F.max("given")))
+        .otherwise(F.coalesce(F.max("end_sec"), F.lit(0.0))).alias("duration_sec")
     )
 
 

@@ -127,3 +127,10 @@ def test_nothing_to_detect(spark):
     scored = scoring.scored_windows(segments(spark, (1, 0, 0.0, 5.0, "a", [])), silence(spark), None)
     assert scoring.select_non_overlapping(scored, top_n=0).count() == 0
     assert scored.select(F.count("*")).first()[0] == 1
+
+
+def test_given_lengths_win_where_they_are_given(spark):
+    segs = segments(spark, (1, 0, 0.0, 40.0, "a", []), (2, 0, 0.0, 40.0, "a", []), (3, 0, 0.0, 40.0, "a", []))
+    given = spark.createDataFrame([(1, 12.5), (2, None), (3, -4.0)], "job_id long, duration_sec double")
+    found = {r.job_id: r.duration_sec for r in windows.durations(segs, silence(spark), given).collect()}
+    assert found == {1: 12.5, 2: 40.0, 3: 0.0}
