@@ -5,6 +5,9 @@ Events carry ``us``, their time in microseconds, and ``event_id``, which breaks
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,33 +122,39 @@ def counters(events: DataFrame, metric_of: dict[str, str], tag: Column) -> DataF
     )
 
 
-def throttle_progress(updates: DataFrame, key: str = "job_id", interval_us: int = 1_000_000) -> DataFrame:
+def throttle_progress(updates: DataFrame, interval_us: int = 1_000_000) -> DataFrame:
     """The updates a throttled sender lets through.
 
     A change of stage always passes and starts afresh, so each stretch of one stage is
-    folded on its own.  Within it an exact repeat of the last sent update, or one
-    sooner than ``interval_us`` after it, is dropped.
+    on its own.  Within it an exact repeat of the last sent update, or one sooner than
+    ``interval_us`` after it, is dropped.  That needs only the last sent update:
+    stretches are sorted inside partitions and read through once, none is gathered.
     """
     hour = _hour()
-    seen = running(updates, [key], hour, _in_order(), before=Running("max", F.struct("us", "event_id", "stage")))
+    seen = running(updates, ["job_id"], hour, _in_order(), before=Running("max", F.struct("us", "event_id", "stage")))
     opens = F.col("before").isNull() | (F.col("before.stage") != F.col("stage"))
-    stretch = running(
-        seen.withColumn("opens", opens).drop("before"), [key], hour, _in_order(),
+    stretches = running(
+        seen.withColumn("opens", opens).drop("before"), ["job_id"], hour, _in_order(),
         stretch=Running("max", F.when(F.col("opens"), F.struct("us", "event_id")), inclusive=True),
     )
-    item = F.struct("us", "event_id", "percent", "message", "stage")
-
-    def swallowed(last: Column, x: Column) -> Column:
-        same = (last["percent"] == x["percent"]) & last["message"].eqNullSafe(x["message"])
-        return same | (x["us"] - last["us"] < interval_us)
-
-    grouped = stretch.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    sent = F.aggregate(
-        F.slice("_items", F.lit(2), F.size("_items")),
-        F.slice("_items", 1, 1),
-        lambda acc, x: F.when(swallowed(F.element_at(acc, -1), x), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return grouped.select(key, F.explode(sent).alias("x")).select(key, "x.*")
+    columns = ["job_id", "us", "event_id", "percent", "message", "stage", "opens"]
+    ordered = stretches.repartition("job_id", "stretch").sortWithinPartitions("job_id", "stretch", "us", "event_id")
+
+    def let_through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent_us, sent = 0, None
+        for frame in frames:
+            keep = []
+            for row in frame.itertuples(index=False):
+                now = (row.percent, row.message)
+                passes = row.opens or (now != sent and row.us - sent_us >= interval_us)
+                if passes:
+                    sent_us, sent = row.us, now
+                keep.append(passes)
+            yield frame.loc[keep]
+
+    return ordered.select(*columns).mapInPandas(
+        let_through, "job_id long, us long, event_id long, percent long, message string, stage string, opens boolean"
+    ).drop("opens")
 
 
 def high_water_mark(updates: DataFrame, value: str, key: str = "job_id") -> DataFrame:

@@ -138,17 +138,21 @@ def project_status(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def _seconds(column: Column) -> Column:
-    return F.unix_seconds(column.cast("timestamp"))
+def _micros(column: Column) -> Column:
+    return F.unix_micros(column.cast("timestamp"))
+
+
+def _heard_before(as_of: Column, task_type: Column, timeout_sec: dict[str, int]) -> Column:
+    """The time, in microseconds, before which a heartbeat is too old."""
+    return _micros(as_of) - lc.lookup(task_type, timeout_sec).cast("long") * 1_000_000
 
 
 def stale_tasks(tasks: DataFrame, as_of: Column, timeout_sec: dict[str, int] = lc.STALE_AFTER_SEC) -> DataFrame:
     """Claimed or running tasks not heard of for longer than their type allows."""
-    deadline = _seconds(as_of) - lc.lookup(F.col("task_type"), timeout_sec)
     beat = F.col("last_heartbeat_at")
     return tasks.where(
         F.col("status").isin("CLAIMED", "RUNNING") & beat.isNotNull()
-        & (F.unix_micros(beat.cast("timestamp")) < deadline * 1_000_000)
+        & (_micros(beat) < _heard_before(as_of, F.col("task_type"), timeout_sec))
     )
 
 
@@ -162,24 +166,25 @@ def failure_policy(failing: DataFrame, as_of: Column, summary: Column) -> DataFr
     return failing.select(
         "task_id", "job_id", "task_type", attempts.alias("attempt_count"),
         F.when(spent, "DEAD_LETTERED").otherwise("QUEUED").alias("next_status"),
-        F.when(~spent, F.timestamp_seconds(_seconds(as_of) + wait)).alias("next_available_at"),
+        F.when(~spent, F.timestamp_micros(_micros(as_of) + wait * 1_000_000)).alias("next_available_at"),
         F.when(spent, F.concat(summary, F.lit(" (retry budget exhausted after "), attempts.cast("string"),
                                F.lit(" attempts)"))).otherwise(retry_message(kind, attempts)).alias("note"),
     )
 
 
-def ready_queue(tasks: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
+def ready_queue(tasks: DataFrame, jobs: DataFrame, as_of: Column, sources: DataFrame | None = None) -> DataFrame:
     """Queued tasks that may start, with their place in the line of their type.
 
-    Analysis also needs a source.  Places are counted per hour of availability, and for
+    Analysis also needs a source: a job listed in ``sources``, or by default one with a
+    stored path.  Places are counted per hour of availability, and for
     tasks without one per range of ids, so a long line is numbered by many tasks.
     """
     at = F.col("available_at")
     waiting = tasks.where(F.col("status") == "QUEUED").where(at.isNull() | (at <= as_of))
-    usable = jobs.where(F.trim(F.col("storage_video_path")) != "").select("job_id")
-    analysis = waiting.where("task_type = 'ANALYZE'").join(usable, "job_id", "left_semi")
+    usable = jobs.where(F.trim(F.col("storage_video_path")) != "") if sources is None else sources
+    analysis = waiting.where("task_type = 'ANALYZE'").join(usable.select("job_id"), "job_id", "left_semi")
     ready = waiting.where("task_type <> 'ANALYZE'").unionByName(analysis)
-    hour = F.floor(_seconds(at) / 3600).cast("long")
+    hour = F.floor(F.unix_seconds(at.cast("timestamp")) / 3600).cast("long")
     unset = F.lit(2**40).cast("long") + F.floor(F.col("task_id") / 100_000).cast("long")
     placed = ordinal(ready, ["task_type"], F.coalesce(hour, unset), [at.asc_nulls_last(), F.col("task_id")], "place")
     return placed.select("task_type", "task_id", "job_id", (F.col("place") + 1).alias("place"))
@@ -198,7 +203,7 @@ def worker_diagnostics(tasks: DataFrame, as_of: Column, timeout_sec: dict[str, i
     state, kind = F.col("status"), F.col("task_type")
     active = state.isin("CLAIMED", "RUNNING")
     beat = F.when(active, F.col("last_heartbeat_at"))
-    late = F.unix_micros(beat.cast("timestamp")) < (_seconds(as_of) - lc.lookup(kind, timeout_sec)) * 1_000_000
+    late = _micros(beat) < _heard_before(as_of, kind, timeout_sec)
     open_tasks = tasks.where(state.isin("QUEUED", "CLAIMED", "RUNNING"))
     per_type = open_tasks.groupBy(lc.role_of(kind).alias("role"), "task_type").agg(
         F.count_if(state == "QUEUED").alias("queued"), F.count_if(state == "CLAIMED").alias("claimed"),
