@@ -22,6 +22,7 @@ PAUSE_MS = 1500
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold times without a zone
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
