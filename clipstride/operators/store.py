@@ -1,27 +1,58 @@
-"""Results that several later steps read are written once to the shared folder."""
+"""Results that several later steps read are written once to the shared folder.
+
+The folder is the one named by ``spark.checkpoint.dir``; where that is unset, a folder below the session's warehouse,
+which driver and executors share too. The rule is the same for every master.
+
+What is written here is deleted when the application ends, or at the end of a ``scope`` around work that is complete
+by then (a micro-batch, say).
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="clipstride-"))
-        folder = sc.getCheckpointDir()
-    return folder
+    """``spark.checkpoint.dir``, else a folder below the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+
+
+def _path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/clipstride/{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, deleted with the scope or the application."""
+    path = f"{shared_folder(spark)}/clipstride/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        files, place = _path(spark, path)
+        files.deleteOnExit(place)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _path(spark, path)
+    files.delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written inside. Nothing that is read later may come from inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -31,5 +62,5 @@ def written(df: DataFrame) -> DataFrame:
     that use a result several times from computing it several times.
     """
     path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
