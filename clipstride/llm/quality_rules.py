@@ -117,6 +117,14 @@ def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     return ledger(docs).withColumns({"base_failed": ~passes(BASE), "kept": passes(POLICIES[policy]) & passes(BASE)})
 
 
+def kept(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, unchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("text"))
+    # the filter reads a column that no filter is moved past, else the optimizer would put a copy of every measurement into it
+    rows = ledger(rows).withColumn("__part", F.spark_partition_id())
+    return rows.where((F.col("__part") >= 0) & passes(POLICIES[policy])).select("__row.*")
+
+
 def patterns(rows: DataFrame) -> DataFrame:
     """Documents per distinct failure pattern: at most 2 ** rules rows, whatever the input."""
     return rows.groupBy("fail_bits").agg(F.count("*").alias("n_docs"))

@@ -34,7 +34,7 @@ WINDOW = 35
 #: Words in the runs that minimisers are chosen from.
 RUN = 4
 #: Text bytes of a chunk that sends one block to each bucket; text bytes that one bucket's task should hold.
-CHUNK, BUCKET = 16 << 20, 20 << 20
+CHUNK, BUCKET = 8 << 20, 8 << 20
 #: Text that travels per byte of input: a super-k-mer repeats a window less one word.
 SPREAD = 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,19 +97,20 @@ def super_kmers(counts: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np
     return text[new], within[new], np.diff(np.append(new, len(text))), least[new]
 
 
-def _pack(arrays: list[np.ndarray], strings: list[bytes]) -> bytes:
-    """One row of lists, compressed."""
-    columns = [pa.array(a) for a in arrays] + [pa.array(strings, pa.large_binary())]
-    row = pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays([0, len(c)], c) for c in columns], names=[str(i) for i in range(len(columns))])
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, row.schema) as to:
-        to.write_batch(row)
-    return zstandard.compress(out.getvalue(), 3)
+def _pack(owners: np.ndarray, owner: np.ndarray, start: np.ndarray, string: np.ndarray, strings: list[bytes]) -> bytes:
+    """Keys of texts; for each place its text, first window and string; the strings. Words hold no line ends."""
+    head = np.array([len(owners), len(owner)], "<i8").tobytes() + owners.astype("<i8").tobytes()
+    places = b"".join(x.astype("<i4").tobytes() for x in (owner, start, string))
+    return zstandard.compress(head + places + b"\n".join(strings), 3)
 
 
-def _unpack(block: bytes) -> list[pa.Array]:
-    row = pa.ipc.open_stream(pa.py_buffer(zstandard.decompress(block))).read_next_batch()
-    return [c.values for c in row.columns]
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(key, first window, string) of each place, and the strings."""
+    data = zstandard.decompress(block)
+    n_owners, n = (int(x) for x in np.frombuffer(data, "<i8", 2))
+    at = 16 + 8 * n_owners
+    owner, start, string = np.frombuffer(data, "<i4", 3 * n, at).reshape(3, n)
+    return np.frombuffer(data, "<i8", n_owners, 16)[owner], start, string, data[at + 12 * n :].split(b"\n")
 
 
 def _send(window: int, buckets: int):
@@ -136,7 +137,7 @@ def _send(window: int, buckets: int):
                 string = np.array([seen.setdefault(packed[begins[i] : stops[i]], len(seen)) for i in part], np.int32)
                 owners, owner = np.unique(text[part], return_inverse=True)
                 out_bucket.append(int(bucket[part[0]]))
-                out_block.append(_pack([keys[owners], owner.astype(np.int32), start[part].astype(np.int32), string], list(seen)))
+                out_block.append(_pack(keys[owners], owner, start[part], string, list(seen)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_bucket, pa.int32()), pa.array(out_block, pa.large_binary()).cast(pa.binary())], names=["bucket", "block"])
 
@@ -189,18 +190,18 @@ def _count(window: int):
         keys, starts, strings = [], [], []
         for batch in batches:
             for block in batch.column("block"):
-                owners, owner, start, string, texts = _unpack(block.as_buffer().to_pybytes())
-                number = np.array([seen.setdefault(t, len(seen)) for t in texts.to_pylist()], np.int64)
-                keys.append(owners.to_numpy()[owner.to_numpy()])
-                starts.append(start.to_numpy())
-                strings.append(number[string.to_numpy()])
+                key, start, string, texts = _unpack(block.as_buffer().to_pybytes())
+                number = np.array([seen.setdefault(t, len(seen)) for t in texts], np.int32)
+                keys.append(key)
+                starts.append(start.copy())
+                strings.append(number[string])
         if not seen:
             return
         keys, starts, strings = map(np.concatenate, (keys, starts, strings))
         weight = np.bincount(strings)
         words = words_of(pa.array(list(seen), pa.large_binary()).cast(pa.large_string()))
         seen.clear()
-        string = np.repeat(np.arange(len(weight)), words.counts())
+        string = np.repeat(np.arange(len(weight), dtype=np.int32), words.counts())
         flags = repeated(words.codes, _word_hashes(words.distinct)[words.codes], string, weight, window)
         begin, end = _ranges(flags)
         # a range of starts stays inside one string: the last windows of a string start before its last words
