@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipstride.llm import packing, quality_ranking, quality_rules, simhash, substring_dedup
+from clipstride.llm import bpe, context_mixing, packing, quality_ranking, quality_rules, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,6 +104,16 @@ def op5(docs: DataFrame) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+@query("op6_lm_scoring")
+def op6(docs: DataFrame) -> DataFrame:
+    return context_mixing.scored(docs)
+
+
+@query("op7_bpe_round_trip")
+def op7(docs: DataFrame) -> DataFrame:
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op9_quality_classifier", "documents", "labels")
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_ranking.predictions(docs, labels)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from clipstride.llm.words import chunks, column_of, words_of
+from clipstride.llm.words import Memory, chunks, column_of, words_of
 
 SIZE = 2048
 END = 1
@@ -39,7 +39,7 @@ LONG, STEP = 256, 16
 #: Short lengths that need no padding and are considered.
 SHORT = tuple(1 << k for k in range(6, 11))
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class WordIds:
@@ -52,12 +52,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, np.ndarray] = {}
+        self.known = Memory(REMEMBERED)
 
     def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        new = self.known.missing(words)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):

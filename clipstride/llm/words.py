@@ -59,3 +59,25 @@ def words_of(texts: pa.Array) -> Words:
         offsets = np.concatenate(([0], np.cumsum(word, dtype=np.int64)))[offsets]
         codes = codes[word]
     return Words(distinct, codes, offsets)
+
+
+class Memory(dict):
+    """What a worker remembers of distinct words: at most twice ``most``, those last used in front of others."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, words: Iterable) -> list:
+        """The words that are not remembered; afterwards all others are in the dictionary."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        out, older = [], self.older
+        for word in words:
+            if word not in self:
+                if (found := older.get(word)) is not None:
+                    self[word] = found
+                else:
+                    out.append(word)
+        return out
