@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipstride.llm import bpe, context_mixing, packing, quality_ranking, quality_rules, simhash, substring_dedup
+from clipstride.llm import (
+    bpe,
+    context_mixing,
+    html_text,
+    language_id,
+    packing,
+    quality_ranking,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    topk_search,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +88,20 @@ def op10(docs: DataFrame) -> DataFrame:
     return simhash.near_copies(docs)
 
 
+@query("op2_topk_search", "embeddings", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5""")
+def op2(embeddings: DataFrame) -> DataFrame:
+    rows = topk_search.usable(embeddings)
+    return topk_search.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 @query("op3_substring_dedup", sql=r"""
 WITH split AS (
   SELECT row_number() OVER () AS row, doc_id,
@@ -99,6 +124,11 @@ def op3(docs: DataFrame) -> DataFrame:
     return substring_dedup.digests(docs)
 
 
+@query("op4_language_id")
+def op4(docs: DataFrame) -> DataFrame:
+    return language_id.predictions(docs)
+
+
 @query("op5_packing")
 def op5(docs: DataFrame) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -114,6 +144,11 @@ def op7(docs: DataFrame) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_html_text", "pages")
+def op8(pages: DataFrame) -> DataFrame:
+    return html_text.extracted(pages)
+
+
 @query("op9_quality_classifier", "documents", "labels")
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_ranking.predictions(docs, labels)
