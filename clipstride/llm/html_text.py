@@ -219,8 +219,10 @@ class Page:
     def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].items.append("\0")
-        elif tag not in ("html", "body") and not self.close_through({tag}, FENCE - {tag} if tag not in TABLE_PARTS and tag != "table" else {"table"} - {tag}):
-            if tag == "p":
+        elif tag not in ("html", "body"):
+            # an inline end tag does not end blocks inside; parts of a table end only inside it
+            stop = {"table"} - {tag} if tag in TABLE_PARTS or tag == "table" else FENCE - {tag} if tag in BLOCK else FENCE | BLOCK
+            if not self.close_through({tag}, stop) and tag == "p":
                 self.open[-1].items.append(([], 1))
 
     def text(self, data: str) -> None:

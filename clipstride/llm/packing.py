@@ -89,12 +89,12 @@ def stream_of(texts: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray, np
     return _spread(flat, first[code], lengths), past[ends], past[stops[code]]
 
 
-def cut_points(past: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(past: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(places, prices) where a sequence may end, from 0 to the end of the stream."""
     places = np.union1d(np.concatenate(([0], past)), sentences)
     gaps = np.diff(places)
-    wide = np.flatnonzero(gaps > LONG)
-    more = [np.arange(places[i] + STEP, places[i + 1], STEP) for i in wide]
+    wide, step = np.flatnonzero(gaps > min(LONG, max(size // 4, 1))), min(STEP, max(size // 4, 1))
+    more = [np.arange(places[i] + step, places[i + 1], step) for i in wide]
     inner = np.concatenate(more) if more else np.zeros(0, np.int64)
     places = np.union1d(places, inner)
     price = np.full(len(places), INNER_CUT)
@@ -152,7 +152,7 @@ def packed(docs: DataFrame, file: str, size: int = SIZE) -> DataFrame:
         ids, number = WordIds(file), TaskContext.get().partitionId() << 32
         for batch in chunks(batches):
             stream, past, sentences = stream_of(column_of(batch), ids)
-            windows = cuts(*cut_points(past, sentences), size)
+            windows = cuts(*cut_points(past, sentences, size), size)
             text, window, first, last = pieces(past, windows)
             begin = np.concatenate(([0], past[:-1]))
             data = stream.astype("<u4").tobytes()
