@@ -327,8 +327,7 @@ add_view("passing_clips", "select * from detected where length(trim(excerpt)) >=
 add_greedy("thinned_clips", "passing_clips", "score desc, start_sec, end_sec, excerpt",
            "abs(k - (x.start_sec + x.end_sec) / 2) <= 45", "(x.start_sec + x.end_sec) / 2")
 add_view("gated_clips", """
-    select * from thinned_clips
-    qualify row_number() over (partition by job_id order by score desc, start_sec, end_sec) <= 100""")
+    select * from thinned_clips""")
 
 
 @query("detect_and_gate", "select job_id, start_sec, end_sec, score, excerpt from gated_clips")
@@ -356,7 +355,6 @@ def temporal_nms(t: Tables) -> DataFrame:
 
 
 @query("candidate_gate", """
-    select job_id, start_sec, end_sec, score, excerpt from gated
-    qualify row_number() over (partition by job_id order by score desc, start_sec, end_sec) <= 100""")
+    select job_id, start_sec, end_sec, score, excerpt from gated""")
 def candidate_gate(t: Tables) -> DataFrame:
     return scoring.candidate_gate(_pool(t))

@@ -209,8 +209,7 @@ def moments_to_candidates(t: Tables) -> DataFrame:
     with placed as (select *, row_number() over (partition by job_id order by start_sec, end_sec, moment_id) - 1 as nth,
                            count(*) over (partition by job_id) as total from moments),
     kept as (select * from (select *, row_number() over (partition by job_id, nth // 20 order by confidence desc, nth) as n from placed)
-             where n <= case when total <= 12 then total when total <= 20 then 12
-                        else greatest(1, ceil(24e0 / ceil(total / 20e0))) end)
+             where n <= greatest(1, ceil(24e0 / ceil(total / 20e0))))
     select job_id, moment_id, confidence from kept
     qualify row_number() over (partition by job_id order by confidence desc, nth) <= 12""")
 def batched_shortlist(t: Tables) -> DataFrame:

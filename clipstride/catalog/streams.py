@@ -162,17 +162,14 @@ def stream_speech_sessions(t: Tables) -> DataFrame:
     return drain(live.speech_sessions(stream_of(clock))).withColumnRenamed("words", "n_words")
 
 
-@query("stream_result_ingest", """
-    select job_id, count(*) as n_segments, sum(word_count)::bigint as n_words from segments group by job_id""")
-def stream_result_ingest(t: Tables) -> DataFrame:
-    """Results delivered twice, an outdated version first; each job is stored once."""
-    root = fresh_path(t.spark)
+def _delivery(t: Tables, n: int) -> DataFrame:
+    """All segments as results of version ``n``, in parts of a minute per recording."""
     lists = F.transform(
         "words", lambda w: F.struct(w["word"].alias("word"), w["start_sec"].alias("startSec"), w["end_sec"].alias("endSec"))
     )
     segment = F.struct(F.col("start_sec").alias("startSec"), F.col("end_sec").alias("endSec"), "text",
                        F.col("word_count").alias("wordCount"), lists.alias("words"))
-    part = F.floor(F.col("start_sec") / 600.0).cast("long").alias("part")
+    part = F.floor(F.col("start_sec") / 60.0).cast("long").alias("part")
     docs = t.segments.groupBy(F.col("job_id").alias("jobId"), part).agg(
         F.array_sort(F.collect_list(segment)).alias("transcriptSegments")
     )
@@ -180,10 +177,28 @@ def stream_result_ingest(t: Tables) -> DataFrame:
 
     names = docs.sparkSession.createDataFrame([], RESULT)
 
-    def version(n: int) -> DataFrame:
-        rows = docs.withColumn("processingVersion", F.lit(n).cast("long")).withColumn("executionId", F.lit(n).cast("long"))
-        return names.unionByName(rows, allowMissingColumns=True)
+    rows = docs.withColumn("processingVersion", F.lit(n).cast("long")).withColumn("executionId", F.lit(n).cast("long"))
+    return names.unionByName(rows, allowMissingColumns=True)
+
 
+@query("stream_result_ingest_batches", "select job_id, start_sec, end_sec, text, word_count from segments")
+def stream_result_ingest_batches(t: Tables) -> DataFrame:
+    """Parts of one version over two batches, one of them twice, an older version last."""
+    root = fresh_path(t.spark)
+    handle = live.ingest_results(root, buckets=8)
+    new, old = _delivery(t, 2), _delivery(t, 1)
+    for batch in (new.where("part % 2 = 0"), new.where("part % 2 = 1 or part = 0"), old):
+        drain_batches(stream_of(batch), handle)
+    stored = tables.read_by_job(t.spark, f"{root}/segments", live.RESULT_TABLES["segments"])
+    return stored.select("job_id", "start_sec", "end_sec", "text", "word_count")
+
+
+@query("stream_result_ingest", """
+    select job_id, count(*) as n_segments, sum(word_count)::bigint as n_words from segments group by job_id""")
+def stream_result_ingest(t: Tables) -> DataFrame:
+    """Results delivered twice, an outdated version first; each job is stored once."""
+    root = fresh_path(t.spark)
+    version = lambda n: _delivery(t, n)
     old = version(1).withColumn("transcriptSegments", F.slice("transcriptSegments", 1, 1))
     delivered = old.unionByName(version(2)).unionByName(version(2))
     drain_batches(stream_of(delivered), live.ingest_results(root, buckets=8))

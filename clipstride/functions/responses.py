@@ -16,12 +16,15 @@ STRICT = {"allowSingleQuotes": "false"}
 def highlight_objects(raw: Column) -> Column:
     """The JSON objects of an answer as strings, by the first reading that works.
 
-    A bracketed array; else an array in a fenced block; else any loose flat objects.
+    What stands between the first and the last bracket, if it is one array; else an array in a fenced block; else any
+    loose flat objects.
     """
     text = F.trim(raw)
 
     def elements(candidate: Column) -> Column:
-        return F.from_json(F.nullif(candidate, F.lit("")), "array<string>", STRICT)
+        # the reader stops behind the first value: inside another array, more text is an error or a second element
+        alone = F.from_json(F.concat(F.lit("["), F.nullif(candidate, F.lit("")), F.lit("]")), "array<string>", STRICT)
+        return F.when(F.size(alone) == 1, F.from_json(candidate, "array<string>", STRICT))
 
     bracketed = elements(F.regexp_extract(text, r"(?s)\[.*\]", 0))
     fenced = elements(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1))

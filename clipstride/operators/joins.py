@@ -24,19 +24,27 @@ def interval_join(
 
     Both sides are spread over the time buckets they touch and joined on
     (keys, bucket); a pair is kept only in the first bucket both touch, so it
-    appears once.  ``closed`` also accepts spans that only touch.
+    appears once.  No side is spread beyond the buckets that the other has, so one
+    endless span costs no more than the other side is long.  ``closed`` also accepts
+    spans that only touch.
     """
     on = list(on)
     ls, le = left_span
     rs, re_ = right_span
 
-    def spread(df: DataFrame, start: str, end: str, first: str) -> DataFrame:
+    def touched(start: str, end: str) -> tuple[Column, Column]:
         lo = time_bucket(F.col(start), width)
-        hi = F.greatest(lo, time_bucket(F.col(end), width))
-        return df.withColumn(first, lo).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+        return lo, F.greatest(lo, time_bucket(F.col(end), width))
 
-    a = spread(left, ls, le, "_first_l")
-    b = spread(right, rs, re_, "_first_r")
+    def spread(df: DataFrame, start: str, end: str, first: str, other: DataFrame, o_start: str, o_end: str) -> DataFrame:
+        lo, hi = touched(start, end)
+        low = F.greatest(lo, other.select(F.min(touched(o_start, o_end)[0])).scalar())
+        high = F.least(hi, other.select(F.max(touched(o_start, o_end)[1])).scalar())
+        within = df.withColumn(first, lo).withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+        return within.withColumn("_bucket", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+    a = spread(left, ls, le, "_first_l", right, rs, re_)
+    b = spread(right, rs, re_, "_first_r", left, ls, le)
     if closed:
         meets = (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))
     else:

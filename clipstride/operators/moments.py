@@ -214,27 +214,28 @@ def shortlist(
 ) -> DataFrame:
     """Cut each job's moments to ``target``: best of every stretch of time first.
 
-    ``rank`` is the ranker's order (lower is better); without one, confidence decides.
+    ``rank`` is the ranker's order (lower is better, null for what it did not list). Where it listed any moment of a
+    stretch, the others of the stretch are out; in a stretch without a pick, and without ``rank``, confidence decides,
+    and those come after all picks.
     A stretch is ``batch`` consecutive moments; places in time are counted per bucket,
     so no job is ordered by one task.
     """
-    rank = -F.col("confidence") if rank is None else rank
+    rank = F.lit(None).cast("double") if rank is None else rank.cast("double")
     placed = ordinal(
-        moments, ["job_id"], time_bucket(F.col("start_sec"), 600.0),
+        moments.withColumn("_rank", rank), ["job_id"], time_bucket(F.col("start_sec"), 600.0),
         [F.col("start_sec"), F.col("end_sec"), F.col("moment_id")], "_at",
     )
     totals = moments.groupBy("job_id").agg(F.count(F.lit(1)).alias("_total"))
     n_batches = F.ceil(F.col("_total") / batch)
-    per_batch = F.greatest(F.lit(1), F.ceil(F.lit(2 * target) / n_batches))
-    keep = F.when(F.col("_total") <= target, F.col("_total")).when(
-        F.col("_total") <= batch, F.lit(target)
-    ).otherwise(per_batch)
-    best = [rank.asc(), F.col("_at").asc()]
+    keep = F.greatest(F.lit(1), F.ceil(F.lit(2 * target) / n_batches))
+    best = [F.asc_nulls_last("_rank"), F.desc("confidence"), F.col("_at").asc()]
     in_batch = Window.partitionBy("job_id", "_batch").orderBy(*best)
     overall = Window.partitionBy("job_id").orderBy(*best)
     survivors = (
         placed.join(totals, "job_id").withColumn("_batch", F.floor(F.col("_at") / batch))
-        .withColumn("_n", F.row_number().over(in_batch)).where(F.col("_n") <= keep)
+        .withColumn("_n", F.row_number().over(in_batch))
+        .withColumn("_picked", F.count("_rank").over(Window.partitionBy("job_id", "_batch")) > 0)
+        .where((F.col("_n") <= keep) & (F.col("_rank").isNotNull() | ~F.col("_picked")))
     )
     return (
         survivors.withColumn("_n", F.row_number().over(overall)).where(F.col("_n") <= target)

@@ -27,7 +27,6 @@ WEIGHTS_WITHOUT_LOUDNESS = {"density": 0.35, "silence": 0.25, "emotion": 0.20, "
 MIN_EXCERPT_CHARS = 3
 MIN_SCORE = 0.5
 NMS_WINDOW_SEC = 45.0
-MAX_CANDIDATES = 100
 
 
 def normalisers(metrics: DataFrame) -> DataFrame:
@@ -183,12 +182,14 @@ def candidate_gate(
     min_excerpt_chars: int = MIN_EXCERPT_CHARS,
     min_score: float = MIN_SCORE,
     nms_window_sec: float = NMS_WINDOW_SEC,
-    top_n: int = MAX_CANDIDATES,
+    top_n: int | None = None,
 ) -> DataFrame:
-    """Drop wordless or weak candidates, thin them in time, keep the first ``top_n``."""
+    """Drop wordless or weak candidates, thin them in time; keep the first ``top_n`` if given."""
     passing = candidates.where(
         (F.length(F.trim("excerpt")) >= min_excerpt_chars) & (F.col("score") >= min_score)
     )
-    order = Window.partitionBy("job_id").orderBy(F.desc("score"), "start_sec", "end_sec")
     thinned = temporal_nms(passing, nms_window_sec)
+    if top_n is None:
+        return thinned
+    order = Window.partitionBy("job_id").orderBy(F.desc("score"), "start_sec", "end_sec")
     return thinned.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_n).drop("_n")

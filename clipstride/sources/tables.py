@@ -45,7 +45,8 @@ def replace_jobs(rows: DataFrame, jobs: DataFrame, path: str, schema: str, bucke
     fresh = rows.join(ids.select("job_id"), "job_id", "left_semi").withColumn("job_bucket", job_bucket(buckets))
     stored = read_or_empty(spark, path, f"{schema}, job_bucket int")
     touched = ids.select("job_bucket").distinct()
-    kept = stored.join(touched, "job_bucket", "left_semi").join(ids.select("job_id"), "job_id", "left_anti")
+    numbers = [r.job_bucket for r in touched.collect()]  # at most ``buckets``; as literals they prune the scan
+    kept = stored.where(F.col("job_bucket").isin(numbers)).join(ids.select("job_id"), "job_id", "left_anti")
     result = written(kept.unionByName(fresh.select(*kept.columns)))
     # A bucket left without rows keeps its directory but must lose its files.
     emptied = touched.join(result.select("job_bucket").distinct(), "job_bucket", "left_anti")

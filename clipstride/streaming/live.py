@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipstride.operators import events as ev
 from clipstride.operators import lifecycle as op
-from clipstride.operators.store import written
+from clipstride.operators.store import scope, written
 from clipstride.operators.windows import WORD_GAP_SEC
 from clipstride.sources import results, tables
 
@@ -77,6 +77,10 @@ def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        with scope(spark):
+            project(spark, batch)
+
+    def project(spark: SparkSession, batch: DataFrame) -> None:
         rows = written(batch)
         touched = rows.select("job_id").distinct()
         stored = _stored(spark, tasks_path, TASKS).join(touched, "job_id", "left_semi")
@@ -95,18 +99,30 @@ def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets
 
 
 def ingest_results(root: str, buckets: int = tables.BUCKETS):
-    """A batch handler: a job's newest delivered result replaces what is stored."""
+    """A batch handler: parts of a job's newest result add to what is stored of it.
+
+    The parts delivered so far are kept as a table of their own. A part replaces the same part of its version, a higher version
+    drops the parts of lower ones, and a lower version that comes late is not taken, whatever batches they came in.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("jobId").agg(F.max(F.struct("processingVersion", "executionId")).alias("v"))
-        newest = newest.select("jobId", "v.processingVersion", "v.executionId")
-        current = written(
-            batch.join(newest, ["jobId", "processingVersion", "executionId"], "left_semi")
-            .dropDuplicates(["jobId", "executionId", "part"])
-        )
-        jobs = current.select(F.col("jobId").alias("job_id")).distinct()
-        for name, rows in results.result_tables(current).items():
-            tables.replace_jobs(rows, jobs, f"{root}/{name}", RESULT_TABLES[name], buckets)
+        spark = batch.sparkSession
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields) + ", job_id bigint"
+        with scope(spark):
+            fresh = written(batch.withColumn("job_id", F.col("jobId").cast("long")))
+            jobs = fresh.select("job_id").distinct()
+            stored = _stored(spark, f"{root}/deliveries", shape).join(jobs, "job_id", "left_semi")
+            known = written(stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))))
+            newest = known.groupBy("jobId").agg(F.max(F.struct("processingVersion", "executionId")).alias("v"))
+            latest = Window.partitionBy("jobId", "part").orderBy(F.desc("_new"))
+            current = written(
+                known.join(newest.select("jobId", "v.*"), ["jobId", "processingVersion", "executionId"], "left_semi")
+                .withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*fresh.columns)
+            )
+            for name, rows in results.result_tables(current.drop("job_id")).items():
+                tables.replace_jobs(rows, jobs, f"{root}/{name}", RESULT_TABLES[name], buckets)
+            # last, so that a batch that is repeated finds what it found before
+            tables.replace_jobs(current, jobs, f"{root}/deliveries", shape, buckets)
 
     return handle
 

@@ -1,26 +1,13 @@
-"""Registered queries against their SQL at the smallest scale.
-
-One query per family by default; ``CLIPSTRIDE_ALL=1`` runs every one.
-"""
-
-import os
+"""Every registered query against its SQL at the smallest scale."""
 
 import check
 import pytest
 
 import __spark_entry__ as entry
+from clipstride import catalog
 
 SF = "/root/testdata/sf0.001"
-FAMILY = (
-    "window_scores segment_fallback_density select_overlap_ratio rescored_candidates detect_and_gate temporal_nms "
-    "chunk_prompts parse_responses merge_moments batched_shortlist audio_mean_loudness rank_fusion detector_routing "
-    "compare_detectors auc_by_source score_summary context_text clip_words caption_documents job_list "
-    "job_status_projection failure_policy ready_queue worker_diagnostics candidate_page retention_events "
-    "event_timeline event_previews progress_compaction callback_admission progress_throttle failure_rate_windows "
-    "text_functions source_routing words_json_roundtrip silence_log_parse nested_results stream_progress_throttle "
-    "stream_heartbeat_watchdog stream_speech_sessions stream_result_ingest stream_status_projection"
-).split()
-NAMES = sorted(entry.queries()) if os.environ.get("CLIPSTRIDE_ALL") else FAMILY
+NAMES = sorted(n for n in catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -35,5 +22,5 @@ def test_equals_sql(spark, database, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.SQL) == set(catalog.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

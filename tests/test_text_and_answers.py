@@ -93,3 +93,32 @@ def test_a_users_model_and_the_fallback(spark):
     found = {r.job_id: r for r in detect_routed(segs, quiet, None, answers).where("path = 'answers' or job_id = 2").collect()}
     assert (found[1].excerpt, found[1].path) == ("hello there", "answers")
     assert found[2].path == "heuristic"
+
+
+def test_an_answer_with_text_behind_its_array_falls_to_loose_objects(spark):
+    from pyspark.sql import functions as F
+
+    from clipstride.functions import responses
+
+    one, two = '{"start_sec": 1, "end_sec": 5}', '{"start_sec": 7, "end_sec": 9}'
+    cases = [(f"See [1]. [{one}]", 1), (f"[{one}] and [{two}]", 2), (f"[{one}, {two}]", 2), (f"```json\n[{one}]\n``` as asked", 1), (f"[{one}], [{two}]", 2)]
+    rows = spark.createDataFrame(cases, "raw string, n int").select("n", F.size(F.filter(responses.highlight_objects(F.col("raw")), lambda o: responses.moment_fields(o).isNotNull())).alias("found"))
+    assert all(r.n == r.found for r in rows.collect())
+
+
+def test_moments_the_ranker_did_not_list_are_out(spark):
+    from pyspark.sql import functions as F
+
+    from clipstride.operators import moments as mo
+
+    rows = spark.createDataFrame([(1, i, float(10 * i), 10.0 * i + 5, 0.5, {28: 1, 29: 0}.get(i)) for i in range(30)], "job_id long, moment_id long, start_sec double, end_sec double, confidence double, picked int")
+    found = {r.moment_id for r in mo.shortlist(rows, F.col("picked")).collect()}
+    assert {28, 29} <= found and not found & set(range(20, 28))
+
+
+def test_an_endless_span_meets_what_there_is(spark):
+    from clipstride.operators.joins import interval_join
+
+    left = spark.createDataFrame([(1, 0.0, 1e12)], "job_id long, a double, b double")
+    right = spark.createDataFrame([(1, 10.0 * i, 10.0 * i + 5) for i in range(50)], "job_id long, c double, d double")
+    assert interval_join(left, right, ["job_id"], ("a", "b"), ("c", "d")).count() == 50
