@@ -17,6 +17,7 @@ Null and empty texts are one end id. Repeated rows are packed one by one; a null
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -25,10 +26,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from clipstride.llm.words import Memory, chunks, column_of, words_of
+from clipstride.llm.bpe import byte_letters
+from clipstride.llm.words import chunks, column_of, words_of
 
 SIZE = 2048
 END = 1
@@ -38,12 +41,25 @@ SENTENCE_CUT, INNER_CUT, SHORT_SEQUENCE = 4, 24, 24
 LONG, STEP = 256, 16
 #: Short lengths that need no padding and are considered.
 SHORT = tuple(1 << k for k in range(6, 11))
-#: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Distinct parts of words after which a worker forgets their ids and begins anew.
+REMEMBERED = 500_000
+#: Words that normalising of these kinds only lower-cases, each character alone.
+NORMALIZERS, PLAIN = ["NFC", "Replace", "Lowercase"], "^[!-~\u00a1-\u012f\u0131-\u017f]+$"
+
+
+def _spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[starts[i] : starts[i] + lengths[i]]`` for every i, one after another."""
+    total = int(lengths.sum())
+    begin = np.cumsum(lengths) - lengths
+    return values[np.arange(total) - np.repeat(begin - starts, lengths)]
 
 
 class WordIds:
-    """Ids of words by a tokenizer that drops white space, so that a text's ids are its words' ids in a row."""
+    """Ids of words by a tokenizer that drops white space, so that a text's ids are its words' ids in a row.
+
+    Most words hold only characters that normalising merely lower-cases. They are cut by the tokenizer's pattern for all words at
+    once, and its model encodes distinct parts; each part ends in a token that only ends parts. The tokenizer itself takes all other words.
+    """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,41 +68,85 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = Memory(REMEMBERED)
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        new = self.known.missing(words)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, np.uint32)
-        return [self.known[w] for w in words]
-
-
-def _spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``values[starts[i] : starts[i] + lengths[i]]`` for every i, one after another."""
-    total = int(lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    return values[np.arange(total) - np.repeat(begin - starts, lengths)]
+        with open(file, encoding="utf-8") as stored:
+            inner = json.load(stored)
+        split = inner["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.parts = regex.compile(f" |{split}")
+        self.plain = PLAIN if [n["type"] for n in inner["normalizer"]["normalizers"]] == NORMALIZERS else "^$"
+        self.special = "|".join(regex.escape(t["content"], special_only=True) for t in inner["added_tokens"]) or "^$"
+        suffix = inner["model"]["end_of_word_suffix"]
+        vocab = inner["model"]["vocab"]
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        inner |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}
+        self.model = Tokenizer.from_str(json.dumps(inner))
+        self.letters = {byte: letter for letter, byte in byte_letters().items() if byte != 32}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.per = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of parts that are not known, each without white space."""
+        spelled = " ".join(parts).encode().decode("latin-1").translate(self.letters).split(" ")
+        found = [self.flat]
+        for at in range(0, len(spelled), 20_000):
+            some = [" ".join(spelled[i : i + 500]) for i in range(at, min(at + 20_000, len(spelled)), 500)]
+            found += [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(some, add_special_tokens=False)]
+        self.flat = np.concatenate(found)
+        past = np.flatnonzero(self.last[self.flat]) + 1
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        if len(past) != len(self.known):
+            raise ValueError("the vocabulary's last tokens of parts also stand inside parts")
+        self.per = np.diff(past, prepend=0)
+        self.first = past - self.per
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many they are) of distinct words."""
+        plain = pc.and_not(pc.match_substring_regex(words, self.plain), pc.match_substring_regex(words, self.special))
+        easy = plain.to_numpy(zero_copy_only=False)
+        first, per, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(0, np.uint32)
+        if easy.any():
+            cut = pa.array(self.parts.findall(" ".join(words.filter(plain).to_pylist()).lower() + " ")).dictionary_encode()
+            names, codes = cut.dictionary.to_pylist(), cut.indices.to_numpy()
+            if len(self.known) > REMEMBERED:
+                self._forget()
+            if new := [x for x in names if x not in self.known and x != " "]:
+                self._learn(new)
+            space = names.index(" ")
+            at = np.fromiter((self.known.get(x, 0) for x in names), np.int64, len(names))
+            begin, count = self.first[at], self.per[at]
+            count[space] = 0
+            lengths = count[codes]
+            ids = _spread(self.flat, begin[codes], lengths)
+            past = np.cumsum(lengths)[codes == space]
+            per[easy] = np.diff(past, prepend=0)
+            first[easy] = past - per[easy]
+        hard = words.filter(pa.array(~easy)).to_pylist()
+        found = [ids]
+        for at in range(0, len(hard), 20_000):
+            found += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(hard[at : at + 20_000], add_special_tokens=False)]
+        if hard:
+            per[~easy] = [len(x) for x in found[1:]]
+            first[~easy] = len(ids) + np.cumsum(per[~easy]) - per[~easy]
+        return np.concatenate(found), first, per
 
 
 def stream_of(texts: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all texts with an end id each, where each text ends, where sentences end)."""
     words = words_of(texts)
-    found = ids.of(words.distinct.to_pylist())
-    per = np.array([len(x) for x in found], np.int64)
-    flat = np.concatenate([np.array([END], np.uint32), *found])
-    first = np.cumsum(per) - per + 1
+    flat, first, per = ids.of(words.distinct)
     stops = pc.match_substring_regex(words.distinct, r"[.!?…]$").to_numpy(zero_copy_only=False)
     # an end word behind each text's words
     counts = words.counts()
     ends = np.cumsum(counts + 1) - 1
-    code = np.full(len(words.codes) + len(counts), len(found))
+    code = np.full(len(words.codes) + len(counts), len(per))
     code[np.setdiff1d(np.arange(len(code)), ends, assume_unique=True)] = words.codes
-    per, first, stops = np.append(per, 1), np.append(first, 0), np.append(stops, False)
+    per, first, stops = np.append(per, 1), np.append(first, len(flat)), np.append(stops, False)
     lengths = per[code]
     past = np.cumsum(lengths)
-    return _spread(flat, first[code], lengths), past[ends], past[stops[code]]
+    return _spread(np.append(flat, np.uint32(END)), first[code], lengths), past[ends], past[stops[code]]
 
 
 def cut_points(past: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +169,16 @@ def cuts(places: np.ndarray, price: np.ndarray, size: int = SIZE) -> np.ndarray:
     count = len(places)
     known = np.full(int(places[-1]) + 1, -1, np.int64)
     known[places] = np.arange(count)
-    short: list[list[int] | None] = [None] * count
+    to, by = [], []
     for length in SHORT:
         if length < size:
-            for i in np.flatnonzero(places >= length):
-                if (a := known[places[i] - length]) >= 0:
-                    short[i] = [*(short[i] or ()), int(a)]
+            reach = np.flatnonzero(places >= length)
+            begin = known[places[reach] - length]
+            to.append(reach[begin >= 0])
+            by.append(begin[begin >= 0])
+    to, by = np.concatenate([*to, [count]]), np.concatenate([*by, [0]])
+    order = np.argsort(to, kind="stable")
+    short_to, short_from, hit = to[order].astype(int).tolist(), by[order].astype(int).tolist(), 0
     at, cost = places.tolist(), price.tolist()
     best, back = [0] * count, [0] * count
     queue, key = deque([0]), [0] * count  # key: f(a) + a
@@ -124,9 +188,10 @@ def cuts(places: np.ndarray, price: np.ndarray, size: int = SIZE) -> np.ndarray:
             queue.popleft()
         a = queue[0]
         least = key[a] + size - b
-        for other in short[i] or ():
-            if best[other] + SHORT_SEQUENCE < least:
-                least, a = best[other] + SHORT_SEQUENCE, other
+        while short_to[hit] == i:
+            if (other := best[short_from[hit]] + SHORT_SEQUENCE) < least:
+                least, a = other, short_from[hit]
+            hit += 1
         best[i], back[i] = least + cost[i], a
         value = key[i] = best[i] + b
         while queue and key[queue[-1]] >= value:
