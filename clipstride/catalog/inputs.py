@@ -30,7 +30,7 @@ class Tables:
 
     @cached_property
     def turns(self) -> DataFrame:
-        text = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+        text = F.col("text")
         rows = self.table("conversations").select(
             F.col("conv_id").alias("job_id"), F.col("turn").alias("segment_id"), text.alias("text"),
             F.filter(F.split(text, r"\s+"), lambda t: t != "").alias("tokens"),
@@ -239,8 +239,14 @@ def _list(names) -> str:
 
 
 def sql_hits(text: str, keywords=KEYWORDS) -> str:
-    parts = [f"len(regexp_extract_all(lower({text}), '\\b{k}\\b'))" for k in keywords]
-    parts += [f"len(regexp_extract_all({text}, '!'))", f"len(regexp_extract_all({text}, '\\b[A-Z]{{2,}}\\b'))"]
+    """Hits of whole words. What separates words is doubled first, so that every word has edges of its own in any alphabet."""
+    edge = "[^\\p{L}\\p{M}\\p{N}_]"
+
+    def whole(x: str, word: str) -> str:
+        return f"len(regexp_extract_all(regexp_replace({x}, '({edge})', '\\1\\1', 'g'), '(?:^|{edge}){word}(?:{edge}|$)'))"
+
+    parts = [whole(f"lower({text})", k.replace(" ", "  ")) for k in keywords]
+    parts += [f"len(regexp_extract_all({text}, '!'))", whole(text, "[A-Z]{2,}")]
     return "(" + " + ".join(parts) + ")"
 
 
@@ -249,10 +255,8 @@ VIEWS: dict[str, str] = {
         select job_id, segment_id, text, tokens, len(tokens) as n,
                coalesce(sum(len(tokens) * {WORD_MS} + {PAUSE_MS}) over (partition by job_id order by segment_id
                  rows between unbounded preceding and 1 preceding), 0)::bigint as start_ms
-        from (select conv_id as job_id, turn as segment_id,
-                     regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') as text,
-                     list_filter(string_split_regex(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '\\s+'),
-                                 lambda t: t <> '') as tokens
+        from (select conv_id as job_id, turn as segment_id, text,
+                     list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') as tokens
               from conversations)""",
     "segments": f"""
         select job_id, segment_id, start_ms / 1000e0 as start_sec, (start_ms + n * {WORD_MS}) / 1000e0 as end_sec,

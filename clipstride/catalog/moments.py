@@ -55,7 +55,7 @@ add_view("chunk_peaks", """
                    from chunks c join loudness l on l.job_id = c.job_id and time_sec >= c_start and time_sec < c_end)
     where rank <= 5""")
 add_view("chunk_emotion", f"""
-    select c.job_id, chunk_no, segment_id, start_sec as time_sec, substr(trim(text), 1, 60) as hint
+    select c.job_id, chunk_no, segment_id, start_sec as time_sec, trim(text) as hint
     from chunks c join segments s on s.job_id = c.job_id and s.start_sec < c_end and s.end_sec > c_start
     where {sql_hits('text')} > 0""")
 add_view("chunk_quiet", """
@@ -221,7 +221,7 @@ def batched_shortlist(t: Tables) -> DataFrame:
     select p.job_id, nth // 20 as batch_no,
            'Choose at most 12 of these moments, best first. Answer with a JSON array of their numbers.' || chr(10)
            || string_agg('[' || (nth % 20) || '] ' || printf('%.0f', start_sec) || 's: ' || reason || ' | '
-                         || substr(coalesce(excerpt, ''), 1, 220), chr(10) order by nth) as prompt
+                         || coalesce(excerpt, ''), chr(10) order by nth) as prompt
     from placed p left join merged_said s on s.job_id = p.job_id and s.moment_id = p.moment_id group by all""")
 def selection_prompts(t: Tables) -> DataFrame:
     return mo.selection_prompts(written(_merged(t)), t.segments)

@@ -16,17 +16,14 @@ from clipstride.operators import scoring, windows
 from clipstride.operators.windows import WindowParams
 from clipstride.sources import logs, results
 
-FOLD = "regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')"
-
 
 @query("text_functions", f"""
     select doc_id, len(list_filter(string_split_regex(trim(body), '\\s+'), lambda x: x <> '')) as n_words,
            {sql_hits('body')}::bigint as hits, md5(trim(regexp_replace(body, '\\s+', ' ', 'g'))) as squeezed,
            substr(body, 1, 60) as hint
-    from (select doc_id, {FOLD} as body from documents)""")
+    from (select doc_id, text as body from documents)""")
 def text_functions(t: Tables) -> DataFrame:
-    body = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
-    docs = t.table("documents").select("doc_id", body.alias("body"))
+    docs = t.table("documents").select("doc_id", F.col("text").alias("body"))
     no_words = F.lit(None).cast("array<string>")
     return docs.select(
         "doc_id", tx.word_count(no_words, F.col("body")).cast("long").alias("n_words"),
@@ -84,8 +81,9 @@ def path_and_enum_normalise(t: Tables) -> DataFrame:
     )
 
 
-# Some addresses are bent, so that every check has something to reject.
+# Every address as it is, and again with most of them bent, so that every check has something to reject.
 add_view("addresses", """
+    select page_id, url from pages union all
     select page_id, case page_id % 6 when 0 then '  ' || url || ' ' when 1 then replace(url, 'http', 'ftp')
              when 2 then 'https:///no/host' when 3 then 'https://www.twitch.tv/videos/' || page_id
              when 4 then 'https://cdn.' || page_id || '.example.org/v/clip.' || page_id || '.webm?x=1' else url end as url
@@ -94,12 +92,13 @@ add_view("addresses", """
 
 def _addresses(t: Tables) -> DataFrame:
     i, url, name = F.col("page_id") % 6, F.col("url"), F.col("page_id").cast("string")
-    return t.table("pages").select("page_id", (
+    pages = t.table("pages").select("page_id", "url")
+    return pages.unionByName(pages.select("page_id", (
         F.when(i == 0, F.concat(F.lit("  "), url, F.lit(" "))).when(i == 1, F.replace(url, F.lit("http"), F.lit("ftp")))
         .when(i == 2, "https:///no/host").when(i == 3, F.concat(F.lit("https://www.twitch.tv/videos/"), name))
         .when(i == 4, F.concat(F.lit("https://cdn."), name, F.lit(".example.org/v/clip."), name, F.lit(".webm?x=1")))
         .otherwise(url)
-    ).alias("url"))
+    ).alias("url")))
 
 
 @query("url_check", """

@@ -61,5 +61,6 @@ def segment_text(words: Column, text: Column, start: Column, end: Column) -> Col
     return F.when(F.size(words) > 0, spoken).otherwise(F.trim(text))
 
 
-def head(text: Column, chars: int) -> Column:
-    return F.substring(text, 1, chars)
+def head(text: Column, chars: int | None) -> Column:
+    """The first characters, or all of them."""
+    return text if chars is None else F.substring(text, 1, chars)

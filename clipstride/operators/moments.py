@@ -71,9 +71,12 @@ def loudness_peaks(loudness: DataFrame, lengths: DataFrame, top: int = HINT_PEAK
     )
 
 
-def emotion_hints(segments: DataFrame, lengths: DataFrame, keywords: Sequence[str]) -> DataFrame:
+def emotion_hints(
+    segments: DataFrame, lengths: DataFrame, keywords: Sequence[str], hint_chars: int | None = None
+) -> DataFrame:
+    """Excited speech of each chunk, whole unless ``hint_chars`` says how much of it to show."""
     marked = segments.select(
-        "job_id", "segment_id", "start_sec", "end_sec", tx.head(F.trim("text"), tx.HINT_CHARS).alias("hint"),
+        "job_id", "segment_id", "start_sec", "end_sec", tx.head(F.trim("text"), hint_chars).alias("hint"),
         tx.emotion_hits(F.col("text"), keywords).alias("hits"),
     ).where("hits > 0")
     return into_chunks(marked, lengths, "start_sec", "end_sec").where(_TOUCHES).select(
@@ -108,10 +111,12 @@ def whole(x: Column) -> Column:
 
 
 def prompts(
-    segments: DataFrame, silence: DataFrame, loudness: DataFrame | None, lengths: DataFrame, keywords: Sequence[str]
+    segments: DataFrame, silence: DataFrame, loudness: DataFrame | None, lengths: DataFrame, keywords: Sequence[str],
+    hint_chars: int | None = None, peaks: int = HINT_PEAKS,
 ) -> DataFrame:
     """One prompt per chunk: stamped transcript, hints, and what to answer.
 
+    ``hint_chars`` shortens hints (``functions.text.HINT_CHARS`` is a usual length), ``peaks`` is how many of the loudest samples to name.
     All lines are unioned and grouped once per chunk.
     """
 
@@ -127,7 +132,7 @@ def prompts(
                      F.trim("text"))
     rows = lines(said, "said", "start_sec", "segment_id", stamp)
     rows = rows.unionByName(lines(
-        emotion_hints(segments, lengths, keywords), "emotion", "time_sec", "segment_id",
+        emotion_hints(segments, lengths, keywords, hint_chars), "emotion", "time_sec", "segment_id",
         F.concat(F.lit("- "), tenths(F.col("time_sec")), F.lit("s: "), F.col("hint")),
     ))
     rows = rows.unionByName(lines(
@@ -136,7 +141,7 @@ def prompts(
     ))
     if loudness is not None:
         rows = rows.unionByName(lines(
-            loudness_peaks(loudness, lengths), "peak", "rank", "0",
+            loudness_peaks(loudness, lengths, peaks), "peak", "rank", "0",
             F.concat(F.lit("- "), tenths(F.col("time_sec")), F.lit("s: "), tenths(F.col("rms_db")), F.lit(" dB")),
         ))
 
@@ -244,9 +249,9 @@ def shortlist(
 
 
 def selection_prompts(
-    moments: DataFrame, segments: DataFrame, target: int = SHORTLIST, batch: int = BATCH
+    moments: DataFrame, segments: DataFrame, target: int = SHORTLIST, batch: int = BATCH, excerpt_chars: int | None = None
 ) -> DataFrame:
-    """One ranking prompt per stretch of ``batch`` moments, in order of time."""
+    """One ranking prompt per stretch of ``batch`` moments, in order of time; ``excerpt_chars`` shortens what is said in them."""
     spans = moments.select(
         "job_id", F.col("moment_id").alias("span_id"), F.col("start_sec").alias("w_start"), F.col("end_sec").alias("w_end")
     )
@@ -257,7 +262,7 @@ def selection_prompts(
     ).withColumn("batch_no", F.floor(F.col("_at") / batch).cast("long"))
     line = F.concat(
         F.lit("["), (F.col("_at") % batch).cast("string"), F.lit("] "), whole(F.col("start_sec")), F.lit("s: "),
-        F.col("reason"), F.lit(" | "), tx.head(F.coalesce("excerpt", F.lit("")), tx.SHORTLIST_CHARS),
+        F.col("reason"), F.lit(" | "), tx.head(F.coalesce("excerpt", F.lit("")), excerpt_chars),
     )
     listed = placed.join(said, ["job_id", "moment_id"], "left").groupBy("job_id", "batch_no").agg(
         F.array_sort(F.collect_list(F.struct("_at", line.alias("line")))).alias("lines")
