@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipstride.catalog import query
+from clipstride.catalog import SQL, query
 from clipstride.catalog.detection import add_greedy
 from clipstride.catalog.inputs import KEYWORDS, Tables, add_view, sql_hits
 from clipstride.functions import responses as rs
@@ -314,3 +314,29 @@ def detector_routing(t: Tables) -> DataFrame:
     return detect_routed(t.segments, t.silence, t.loudness, answers, KEYWORDS).select(
         "job_id", "start_sec", "end_sec", "score", "path"
     )
+
+
+@query("expression_fusion", """
+    with axes as (select job_id, moment_id as candidate_id, confidence as score, 1e0 as weight from moments
+                  union all select job_id, moment_id, start_sec - end_sec, 0.5e0 from moments),
+    ranked as (select *, rank() over (partition by job_id, weight order by score desc)
+                  + (count(*) over (partition by job_id, weight, score) - 1) / 2e0 as rank from axes)
+    select job_id, candidate_id, round(sum(weight * rank), 6) as fused,
+           row_number() over (partition by job_id order by round(sum(weight * rank), 6), candidate_id) as place
+    from ranked group by job_id, candidate_id""")
+def expression_fusion(t: Tables) -> DataFrame:
+    """Confident and short moments first, both axes being expressions over one table."""
+    candidates = t.moments.withColumnRenamed("moment_id", "candidate_id")
+    axes = {"sure": F.col("confidence"), "short": F.col("start_sec") - F.col("end_sec")}
+    fused = fusion.fuse_with(candidates, axes, {"sure": 1.0, "short": 0.5})
+    return fused.select("job_id", "candidate_id", F.round("fused", 6).alias("fused"), "place")
+
+
+@query("answered_prompts")
+def answered_prompts(t: Tables) -> DataFrame:
+    """A model that answers with the length of what it is asked."""
+    asked = mo.prompts(t.segments, t.silence, t.loudness, _lengths(t), KEYWORDS)
+    return mo.answer(asked, lambda texts: [str(len(x)) for x in texts]).select("job_id", "chunk_no", "raw")
+
+
+SQL["answered_prompts"] = f"select job_id, chunk_no, length(prompt)::varchar as raw from ({SQL['chunk_prompts']})"
