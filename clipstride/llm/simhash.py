@@ -257,12 +257,17 @@ def near_copies(docs: DataFrame, words: int = 4, most: int = MOST_BITS) -> DataF
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, most: int = MOST_BITS) -> DataFrame:
-    """The row with the smallest doc_id of each component; of rows that repeat it, one. A null id is the largest."""
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of ``docs``, the first row of each root; ``rooted``: doc_id, root, and key (hash of doc_id and text) of each row."""
     key = F.xxhash64("doc_id", "text")
-    rows = written(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp", key.alias("key")))
-    first = rows.join(classes(rows, most), "fp").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
     kept = first.select(F.col("first.key").alias("__kept"), F.col("first.doc_id").alias("__id"))
     found = docs.withColumn("__key", key).join(kept, (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return found.dropDuplicates(["__key"]).drop("__key")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, most: int = MOST_BITS) -> DataFrame:
+    """The row with the smallest doc_id of each component; of rows that repeat it, one. A null id is the largest."""
+    key = F.xxhash64("doc_id", "text")
+    rows = written(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp", key.alias("key")))
+    return first_rows(docs, rows.join(classes(rows, most), "fp"))
