@@ -1,7 +1,8 @@
 """Remove passages that occur more than once, by super-k-mer partitioning.
 
 A window is a run of consecutive words of one document. Its minimiser is the smallest hash among its runs of four
-words, so equal windows have equal minimisers. Consecutive windows with the same minimiser (a super-k-mer) travel
+words, those that are frequent in the corpus left out, or of sixteen words where all of them are frequent, so equal
+windows have equal minimisers and a common line does not draw the differing text around it into one bucket. Consecutive windows with the same minimiser (a super-k-mer) travel
 together, as one packed string, to the bucket of that minimiser. Equal strings of one chunk of texts travel as one
 string with its list of places; a chunk sends each bucket one compressed block. In a bucket equal strings are one
 again; the windows of the distinct strings are sorted by hash, and windows of equal hash are compared word by word
@@ -35,6 +36,9 @@ WINDOW = 35
 RUN = 4
 #: Text bytes of a chunk that sends one block to each bucket; text bytes that one bucket's task should hold.
 CHUNK, BUCKET = 8 << 20, 8 << 20
+#: Words in the runs that stand in where all runs of a window are frequent; text bytes in which frequent runs are looked for.
+#: Which runs count as frequent only says where windows meet, not which are counted.
+LONG_RUN, LOOK = 16, 32 << 20
 #: Text that travels per byte of input: a super-k-mer repeats a window less one word.
 SPREAD = 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,10 +82,13 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def super_kmers(counts: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+NONE, LAST = np.zeros(0, np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def super_kmers(counts: np.ndarray, hashes: np.ndarray, window: int, frequent: np.ndarray = NONE) -> tuple[np.ndarray, ...]:
     """(text, first window's start in the text, number of windows, minimiser) of the runs of windows in a chunk.
 
-    ``counts``: words of each text; ``hashes``: of all words, text by text.
+    ``counts``: words of each text; ``hashes``: of all words, text by text; ``frequent``: sorted hashes of frequent runs.
     """
     starts = np.cumsum(counts) - counts
     some = np.flatnonzero(counts >= window)
@@ -89,7 +96,14 @@ def super_kmers(counts: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np
     if not len(some):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     run = min(RUN, window)
-    least = _smallest(_mixed(_window_hashes(hashes, run)), window - run + 1)
+    runs = _mixed(_window_hashes(hashes, run))
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)] == runs
+        least = _smallest(np.where(often, LAST, runs), window - run + 1)
+        longer = min(LONG_RUN, window)
+        least = np.where(least == LAST, _smallest(_mixed(_window_hashes(hashes, longer)), window - longer + 1), least)
+    else:
+        least = _smallest(runs, window - run + 1)
     text = np.repeat(some, per)
     within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     least = least[starts[text] + within]
@@ -113,13 +127,42 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[byte
     return np.frombuffer(data, "<i8", n_owners, 16)[owner], start, string, data[at + 12 * n :].split(b"\n")
 
 
-def _send(window: int, buckets: int):
+def _runs(window: int):
+    run = min(RUN, window)
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of each chunk, and in how many places."""
+        for batch in chunks(batches, most=CHUNK):
+            words = words_of(column_of(batch))
+            ends = np.repeat(words.offsets[1:], words.counts())
+            found = _mixed(_window_hashes(_word_hashes(words.distinct)[words.codes], run))
+            found, times = np.unique(found[np.arange(len(found)) + run <= ends[: len(found)]], return_counts=True)
+            for at in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[at : at + 100_000].view(np.int64)), pa.array(times[at : at + 100_000])], names=["run", "n"])
+
+    return runs
+
+
+def frequent_runs(rows: DataFrame, size: int, window: int) -> np.ndarray:
+    """Sorted hashes of runs whose super-k-mers may hold over half a bucket; ``rows``: key, text; ``size``: bytes of text."""
+    share = min(1.0, LOOK / max(size, 1))
+    # a super-k-mer has at most two windows less a run, of some six bytes a word
+    most = max(2, share * BUCKET / 2 / (2 * window * 6))
+    if size * SPREAD <= BUCKET:
+        return NONE
+    some = rows if share == 1.0 else rows.where(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000))
+    found = some.mapInArrow(_runs(window), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return np.sort(np.array([r["run"] for r in found.select("run").collect()], np.int64).view(np.uint64))  # at most words / most
+
+
+def _send(window: int, buckets: int, frequent: np.ndarray = NONE):
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Columns key (long) and text; one row (bucket, block) for each bucket that a chunk has windows for."""
         for batch in chunks(batches, most=CHUNK):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             words = words_of(column_of(batch))
-            text, start, number, least = super_kmers(words.counts(), _word_hashes(words.distinct)[words.codes], window)
+            text, start, number, least = super_kmers(words.counts(), _word_hashes(words.distinct)[words.codes], window, frequent)
             if not len(text):
                 continue
             spelled = words.distinct.cast(pa.large_binary()).take(pa.array(words.codes))
@@ -235,7 +278,7 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     floor = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(floor, math.ceil(SPREAD * size / BUCKET))
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    blocks = rows.mapInArrow(_send(window, buckets), "bucket int, block binary")
+    blocks = rows.mapInArrow(_send(window, buckets, frequent_runs(rows, size, window)), "bucket int, block binary")
     found = blocks.repartition(buckets, "bucket").mapInArrow(_count(window), "key long, ranges binary")
     found = found.groupBy("key").agg(F.collect_list("ranges").alias("__ranges"))
     docs = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
