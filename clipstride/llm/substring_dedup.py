@@ -226,6 +226,20 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def merged(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges in order, those of a key that are equal, overlap or touch as one: repeated rows send the same ones."""
+    order = np.lexsort((low, key))
+    key, low, high = key[order], low[order], high[order]
+    if not len(key):
+        return key, low, high
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    base = np.cumsum(first).astype(np.int64) << 32  # a key's ranges lie above those of the key before
+    reach = np.maximum.accumulate(base + high)
+    new = first | np.concatenate(([True], (base + low)[1:] > reach[:-1]))
+    begin = np.flatnonzero(new)
+    return key[begin], low[begin], (reach - base)[np.append(begin[1:], len(key)) - 1].astype(high.dtype)
+
+
 def _count(window: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All blocks of a bucket are in this partition; one row (key, ranges) for each text that loses words."""
@@ -259,8 +273,7 @@ def _count(window: int):
         source = np.repeat(hit, times)
         nth = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(ahead[strings[hit]], times)
         key, low, high = keys[source], starts[source] + begin[nth], starts[source] + end[nth]
-        order = np.lexsort((low, key))
-        key, low, high = key[order], low[order], high[order]
+        key, low, high = merged(key, low, high)
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         both = np.stack([low, high], axis=1).astype("<i4")
         for at in range(0, len(cuts), 10_000):

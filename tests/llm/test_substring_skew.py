@@ -52,3 +52,22 @@ def test_frequent_runs_change_no_count():
                 at = k + 250 * t
                 assert place.setdefault(tuple(words[at : at + window]), m) == m
         assert number.sum() == 400 - 2 * (window - 1)
+
+
+def test_ranges_of_repeated_rows_are_sent_once(spark):
+    """A row repeated n times has as many ranges as one, not n times as many in each of its n rows."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.createDataFrame([(1, text)] * 200 + [(2, text)], "doc_id long, text string")
+    for r in substring_dedup.covered(rows).select("__ranges").collect():
+        assert sum(map(len, r["__ranges"])) <= 8 * 300
+    assert rows.count() == substring_dedup.digests(rows).where("n_removed = 300").count()
+
+
+def test_ranges_are_merged_by_key():
+    draw = np.random.default_rng(3)
+    key, low = draw.integers(-3, 3, 200), draw.integers(0, 300, 200).astype(np.int32)
+    high = low + draw.integers(1, 9, 200).astype(np.int32)
+    got = list(zip(*(x.tolist() for x in substring_dedup.merged(key, low, high))))
+    cover = lambda ranges: {(k, p) for k, a, b in ranges for p in range(a, b)}
+    assert cover(got) == cover(zip(key.tolist(), low.tolist(), high.tolist()))
+    assert all(a[0] < b[0] or a[2] < b[1] for a, b in zip(got, got[1:]))
