@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clipstride.llm import (
     bpe,
+    collocations,
     context_mixing,
     html_text,
     language_id,
@@ -154,6 +155,37 @@ def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_ranking.predictions(docs, labels)
 
 
+@query("op11_phrase_collocations", sql=r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+runs AS (
+  SELECT lang, unnest(list_concat(
+           w, list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' ')),
+           list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')))) AS phrase
+  FROM split),
+f AS (SELECT lang, phrase, count(*) AS f, len(string_split(phrase, ' ')) AS size FROM runs GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, f AS a, size, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+scored AS (
+  SELECT c.lang, c.phrase, a, c.size, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cuts WHERE size = 3 AND k = 1),
+held AS (SELECT lang, phrase, max(a) AS longest FROM longer GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN held USING (lang, phrase) JOIN totals USING (lang)
+WHERE longest IS NULL OR 100 * longest < 50 * a
+QUALIFY rank <= 2000""")
+def op11(docs: DataFrame) -> DataFrame:
+    return collocations.collocations(docs)
+
+
 def load() -> None:
     """Register the pipeline too; it lies beside the package."""
     import corpus_pipeline
