@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clipstride.llm import (
+    block_max,
     bpe,
     collocations,
     context_mixing,
@@ -186,6 +187,30 @@ def op11(docs: DataFrame) -> DataFrame:
     return collocations.collocations(docs)
 
 
+@query("op12_lexical_search", "documents", "benchmark", sql=r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS nd, coalesce(sum(len(w)), 0)::BIGINT AS nt FROM docs),
+post AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM docs) GROUP BY ALL),
+held AS (SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times, any_value(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT) AS weight
+  FROM asked JOIN held USING (term), totals GROUP BY item_id, term),
+scored AS (
+  SELECT item_id, row, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * nd) // nt))))::BIGINT AS score
+  FROM q JOIN post USING (term) JOIN docs USING (row), totals GROUP BY item_id, row)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored JOIN docs USING (row) WHERE score > 0 QUALIFY rank <= 20""")
+def op12(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return block_max.search(block_max.index(docs), items)
+
+
 def load() -> None:
     """Register the pipeline too; it lies beside the package."""
     import corpus_pipeline
