@@ -19,6 +19,7 @@ from clipstride.llm import (
     quality_rules,
     simhash,
     substring_dedup,
+    tensored_minhash,
     topk_search,
 )
 
@@ -211,6 +212,11 @@ def op12(docs: DataFrame, items: DataFrame) -> DataFrame:
     return block_max.search(block_max.index(docs), items)
 
 
+@query("op13_minhash_near_dedup")
+def op13(docs: DataFrame) -> DataFrame:
+    return tensored_minhash.near_copies(docs)
+
+
 def load() -> None:
     """Register the pipeline too; it lies beside the package."""
     import corpus_pipeline
