@@ -33,7 +33,9 @@ from clipstride.operators.store import written
 #: Words with an id by rank (three ids fit into a long), and frequent pairs with one.
 HEAD, HEAD_PAIRS = 1 << 19, 1 << 16
 #: Side of a tile; pairs of a chunk from which a tile is counted at its address; such tiles a task keeps; other cells it keeps.
-TILE, CROWDED, TILES, CELLS = 512, 1 << 14, 48, 4_000_000
+TILE, CROWDED, TILES, CELLS = 512, 1 << 14, 24, 2_000_000
+#: Bytes of text that a task works on at once, and distinct words that it gathers.
+TEXT_BYTES, WORDS = 3 << 20, 400_000
 #: Bits of a table at most, a power of two, and bits of one of its segments.
 TABLE_BITS, SEGMENT_BITS = 28, 17
 #: Letters A-Z are lowered, tabs become spaces, ends of pieces line feeds.
@@ -54,7 +56,7 @@ def _pieces(texts: Iterable[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 def _by_lang(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     """(lang, distinct words, codes) chunk by chunk."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, most=TEXT_BYTES):
         langs = pc.dictionary_encode(pc.fill_null(batch.column("lang").cast(pa.string()), "und"))
         texts = column_of(batch).cast(pa.large_binary())
         of = langs.indices.to_numpy(zero_copy_only=False)
@@ -79,7 +81,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for word, n in zip(distinct.to_pylist(), np.bincount(codes, minlength=len(distinct)).tolist()):
             if n and word != END:
                 into[word] = into.get(word, 0) + n
-        if sum(map(len, kept.values())) > 1_000_000:
+        if sum(map(len, kept.values())) > WORDS:
             for item in kept.items():
                 yield from rows(*item)
             kept.clear()
@@ -164,10 +166,14 @@ class _Cells:
 
     def merge(self) -> None:
         if len(self.codes) > 1:
-            codes, of = np.unique(np.concatenate(self.codes), return_inverse=True)
-            self.counts = [np.bincount(of, np.concatenate(self.counts)).astype(np.int64)]
-            self.codes = [codes]
-            self.size = len(codes)
+            codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
+            self.codes.clear()
+            self.counts.clear()
+            order = np.argsort(codes)
+            codes, counts = codes[order], counts[order]
+            starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))[: len(codes)]
+            self.codes, self.counts = [codes[starts]], [np.add.reduceat(counts, starts)]
+            self.size = len(starts)
 
     def rows(self, ranked: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(codes, counts); ``ranked`` gives the code of a left rank, if that is not itself."""
@@ -246,7 +252,7 @@ def _count_phrases(words: int, heads: dict, more: tuple | None, pairs: tuple | N
             if sum(c.size for c in cells.values()) > CELLS:
                 for c in cells.values():
                     c.merge()
-            if sum(c.size for c in cells.values()) > CELLS or len(texts) > 500_000:
+            if sum(c.size for c in cells.values()) > CELLS or len(texts) > WORDS:
                 yield from out()
         yield from out()
 

@@ -1,181 +1,42 @@
-"""One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more, checked exactly.
+"""One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Candidates are met by the smallest of ROWS hash orders in each of BANDS bands: a pair at 0.8 is missed by all bands
-with probability (1 - 0.8 ** 4) ** 24 = 3e-6, a closer pair less often. What meets is compared by its whole sets.
+First SimHash: fingerprints over five words link by the anchors of ``simhash`` at four bits or fewer. Equal fingerprints and
+the edges that connect close ones are candidates, checked on full sets; they settle groups of many close copies. Few
+bits differ only above a similarity of some 0.95, so what is left goes through the tables of ``tensored_minhash``, whose
+docstring gives the odds that a pair at 0.8 is missed.
 
-Hot groups: equal sets travel as one. In a band's group all sets are first compared with one leader; what these links
-connect is not compared again. Groups that still hold several components get other leaders, and in the end, or when the
-pairs left are few, each remaining pair across components is compared, so no candidate link is left out.
-
-Letters A-Z count as lower case. A text of fewer than five words is one shingle; texts without words equal each other.
-Null text counts as empty. Rows without a doc_id are linked too but are kept only where no row of a group has one.
+Sets are compared as sets of 64-bit shingle hashes. Letters A-Z count as lower case. A text of fewer than five words is
+one shingle; texts without words equal each other here. Null text counts as empty. Rows without a doc_id are linked too
+but are kept only where no row of a group has one. Other columns are passed on.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipstride.llm import simhash
-from clipstride.llm.substring_dedup import _mixed, _window_hashes, _word_hashes
-from clipstride.llm.words import chunks, column_of, words_of
+from clipstride.llm.tensored_minhash import Links
 from clipstride.operators.store import written
 
-SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 24, 4
-#: Rows a grouping task should hold; leaders that a group gets before all pairs are compared; pairs that are compared at once for each row that meets.
-TASK_ROWS, LEADERS, FEW = 3_000_000, 4, 4
-FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, text by text, and where each text's begin (one more than texts)."""
-    words = words_of(pc.ascii_lower(texts))
-    hashes, counts = _word_hashes(words.distinct)[words.codes], words.counts()
-    of, found = [], []
-    long = counts >= SHINGLE
-    per = np.where(long, counts - SHINGLE + 1, 0)
-    if long.any():
-        owner = np.repeat(np.arange(len(counts)), per)
-        within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        of.append(owner)
-        found.append(_window_hashes(hashes, SHINGLE)[words.offsets[owner] + within])
-    for n in range(1, SHINGLE):
-        some = np.flatnonzero(counts == n)
-        if len(some):
-            of.append(some)
-            found.append(_window_hashes(hashes, n)[words.offsets[some]] + np.uint64(n))
-    if not of:
-        return np.zeros(0, np.uint64), np.zeros(len(counts) + 1, np.int64)
-    owner, value = np.concatenate(of), _mixed(np.concatenate(found))
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])))
-    owner, value = owner[new], value[new]
-    return value, np.searchsorted(owner, np.arange(len(counts) + 1))
-
-
-def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identity of each set, and its bands (sets x BANDS); an empty set has identity and bands zero."""
-    sizes = np.diff(offsets)
-    some = np.flatnonzero(sizes > 0)
-    identity, bands = np.zeros(len(sizes), np.uint64), np.zeros((len(sizes), BANDS), np.uint64)
-    if len(some):
-        starts = offsets[some]
-        identity[some] = _mixed(np.add.reduceat(_mixed(value + FACTORS[0]), starts) + sizes[some].astype(np.uint64))
-        for band in range(BANDS):
-            joint = np.full(len(some), band + 1, np.uint64)
-            for factor in FACTORS[band * ROWS : (band + 1) * ROWS]:
-                joint = _mixed(joint + np.minimum.reduceat(_mixed(value * factor), starts))
-            bands[some, band] = joint
-    return identity, bands
-
-
-def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        value, offsets = shingle_sets(column_of(batch))
-        identity, bands = signatures(value, offsets)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(identity.view(np.int64)), pa.array(np.diff(offsets), pa.int64()), lists],
-            names=["doc_id", "key", "fp", "size", "bands"])
-
-
-def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a band value are in this partition; those that are not alone."""
-    columns: list[list[np.ndarray]] = [[], [], []]
-    for batch in batches:
-        for into, name in zip(columns, ("band", "fp", "size")):
-            into.append(batch.column(name).to_numpy(zero_copy_only=False))
-    if columns[0]:
-        band, fp, size = map(np.concatenate, columns)
-        order = np.argsort(band, kind="stable")
-        same = band[order][1:] == band[order][:-1]
-        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        for at in range(0, len(order), 100_000):
-            some = order[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (band, fp, size)], names=["band", "fp", "size"])
-
-
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        value, offsets = shingle_sets(column_of(batch))
-        blocks = [value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(blocks, pa.binary())], names=["fp", "members"])
-
-
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two packed sets have LEAST of their union in common."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 5 * both >= 4 * (len(x) + len(y) - both)  # LEAST in whole numbers
-
-
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        mask = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("left"), batch.column("right"))]
-        yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
-
-
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, a_size, b, b_size) that are near copies, as (a, b)."""
-    can = F.least("a_size", "b_size") >= LEAST * F.greatest("a_size", "b_size") - 1e-6
-    pairs = pairs.where((F.col("a") != F.col("b")) & can).select("a", "b").distinct()
-    right = sets.select(F.col("fp").alias("b"), F.col("members").alias("right"))
-    left = sets.select(F.col("fp").alias("a"), F.col("members").alias("left"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+SHINGLE, LEAST = 5, 80
 
 
-def edges(meeting: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever near copies connect; ``meeting``: (band, fp, size), ``sets``: (fp, members)."""
-    spark = meeting.sparkSession
-    found = written(spark.createDataFrame([], "a long, b long"))
-    left = meeting.select("*", F.col("fp").alias("root"))
-    for turn in range(LEADERS + 1):
-        several = left.groupBy("band").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "size", "root")).alias("first"), F.min("root").alias("lo"),
-            F.max("root").alias("hi")).where("lo <> hi")
-        groups = written(several.select("band", "n", "first.fp", "first.size", "first.root"))
-        rows, pairs = groups.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not rows:
-            break
-        left = written(left.join(groups.select("band"), "band", "left_semi"))
-        every = turn == LEADERS or pairs <= FEW * rows
-        other = left if every else groups
-        other = other.select("band", F.col("fp").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-        met = left.join(other, "band").where("root <> a_root").select(
-            F.least("a", "fp").alias("a"), F.when(F.col("a") < F.col("fp"), F.col("a_size")).otherwise(F.col("size")).alias("a_size"),
-            F.greatest("a", "fp").alias("b"), F.when(F.col("a") < F.col("fp"), F.col("size")).otherwise(F.col("a_size")).alias("b_size"))
-        found = written(found.union(_checked(met, sets)))
-        if every:
-            break
-        roots = simhash.components(found)
-        left = left.select("band", "fp", "size").join(roots, F.col("fp") == F.col("node"), "left").select(
-            "band", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    return found
+def close_fingerprints(links: Links) -> DataFrame:
+    """Pairs of nodes (a, b) that connect what fingerprints of at most four differing bits connect."""
+    marked = simhash.fingerprints(links.texts.select("key", "text"), SHINGLE).select("key", "fp")
+    marked = written(links.nodes.where("size > 0").select("node", "key").join(marked, "key").select("node", "fp").distinct())
+    first = written(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    close = simhash.links(first.select("fp"))
+    left, right = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b"))
+    across = close.distinct().join(left, "a").join(right, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return across.union(marked.join(first, "fp").where("node <> first").select("first", "node"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies; of rows that repeat it, one. A null id is the largest."""
-    spark = docs.sparkSession
-    key = F.xxhash64("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", key.alias("key"))
-    signed = written(keyed.mapInArrow(_signed, f"doc_id {kind}, key long, fp long, size long, bands array<long>"))
-    rows = signed.select("doc_id", "key", "fp")
-    distinct = written(signed.groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(BANDS * distinct.count() / TASK_ROWS))
-    banded = distinct.where("size > 0").select(F.explode("bands").alias("band"), "fp", "size")
-    meeting = written(banded.repartition(parts, "band").mapInArrow(_meeting, "band long, fp long, size long"))
-    needed = distinct.select("fp", "key").join(meeting.select("fp").distinct(), "fp", "left_semi")
-    chosen = keyed.select("key", "text").join(needed, "key").dropDuplicates(["fp"])
-    sets = written(chosen.select("fp", "text").mapInArrow(_sets, "fp long, members binary"))
-    roots = simhash.components(edges(meeting, sets))
-    found = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return simhash.first_rows(docs, rows.join(found, "fp"))
+    links = Links(docs, SHINGLE, LEAST)
+    links.check(close_fingerprints(links))
+    links.gather()
+    rooted = links.rows.join(links.classes().select("one", "two", "root"), ["one", "two"])
+    return simhash.first_rows(docs, rooted.select("doc_id", "key", "root"))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 
-from clipstride.llm import near_dedup
+from clipstride.llm import near_dedup, tensored_minhash
 
 
 def shingles(text):
@@ -33,9 +33,9 @@ def planted(count=240):
     return out
 
 
-@pytest.mark.parametrize("few", [4, 0])
-def test_recall_by_similarity_band(spark, monkeypatch, few):
-    monkeypatch.setattr(near_dedup, "FEW", few)
+@pytest.mark.parametrize("large", [4096, 2])
+def test_recall_by_similarity_band(spark, monkeypatch, large):
+    monkeypatch.setattr(tensored_minhash, "LARGE", large)
     pairs = planted()
     rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
