@@ -12,7 +12,6 @@ rows give equal rows. The number of languages is that of the label column and as
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipstride.llm.words import chunks, column_of
+from clipstride.llm.words import chunks, column_of, in_sample
 
 BITS = 13
 DIMENSIONS = 1 << BITS
@@ -31,7 +30,6 @@ SAMPLE, ASIDE, EPOCHS = 1600, 0.2, 4
 #: Of the leader: step size, its start, and the two parts of the elastic net.
 ALPHA, BETA, LASSO, RIDGE = 0.5, 1.0, 0.05, 0.5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1 << 20
 
 
@@ -63,7 +61,7 @@ class Model(NamedTuple):
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at, value = tfidf(grams(text), self.idf)
         p = softmax(value @ self.weights[at] / self.temperature)
@@ -140,8 +138,8 @@ def train(docs: DataFrame) -> Model:
         df[r["pos"]], total = r["df"], r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     share = {k: min(1.0, SAMPLE / len(languages) / n) for k, n in counts.items()}
-    limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))])[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < limit).limit(2 * SAMPLE)
+    limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
+    sample = rows.where(in_sample(F.xxhash64("doc_id", "text"), limit)).limit(2 * SAMPLE)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

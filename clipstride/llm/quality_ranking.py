@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipstride.llm.words import chunks, column_of, words_of
+from clipstride.llm.words import chunks, column_of, in_sample, words_of
+from clipstride.operators.store import written
 
 #: Bounds of what is fitted on: labelled rows, and pairs drawn from them.
 SAMPLE, PAIRS = 6000, 40_000
@@ -109,11 +110,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most SAMPLE labelled rows that are not held out."""
+    """Weights from at most SAMPLE labelled rows that are not held out; the threshold from all of them.
+
+    It lies halfway between the scores at which as many rows are below as are labelled 0.
+    """
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", "quality")
     share = min(1.0, 0.95 * SAMPLE / max(usable.count(), 1))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = F.broadcast(usable.where(picked).limit(SAMPLE))  # the limit is the proven bound
+    sample = F.broadcast(usable.where(in_sample(F.xxhash64("doc_id"), share)).limit(SAMPLE))  # the limit is the proven bound
     rows = docs.select("doc_id", "text").join(sample, "doc_id").limit(2 * SAMPLE)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +129,40 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     found = rows.mapInArrow(measure, "quality int, x array<double>").orderBy("quality", "x").collect()
     if not found:
         return fitted(np.zeros((0, len(FEATURES))), np.zeros(0, bool))
-    return fitted(np.array([r["x"] for r in found]), np.array([r["quality"] == 1 for r in found]))
+    model = fitted(np.array([r["x"] for r in found]), np.array([r["quality"] == 1 for r in found]))
+    if not model.weights.any():
+        return model
+
+    def rank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(features(column_of(batch)) @ model.weights)], names=["doc_id", "x"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ranked = written(docs.select("doc_id", "text").mapInArrow(rank, f"doc_id {kind}, x double").join(usable, "doc_id").select("x", "quality"))
+    total, cut = ranked.agg(F.count("*"), F.count_if(F.col("quality") == 0)).first()
+    if not 0 < cut <= total:
+        return model
+    return model._replace(threshold=(nth(ranked, "x", cut) + nth(ranked, "x", min(cut + 1, total))) / 2)
+
+
+#: Parts that a range of scores is cut into in one pass.
+PARTS = 1024
+
+
+def nth(rows: DataFrame, column: str, n: int) -> float:
+    """The n-th smallest value (from 1) of a finite column, exactly: counts over ever smaller ranges, no sorting."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    x = F.col(column)
+    while low < high:
+        place = F.least(F.floor((x - low) / (high - low) * PARTS), F.lit(PARTS - 1))
+        inside = rows.where(x.between(low, high)).groupBy(place.alias("part")).agg(
+            F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for part in sorted(inside.collect()):  # PARTS rows at most
+            if n <= part["n"]:
+                break
+            n -= part["n"]
+        low, high = part["low"], part["high"]
+    return low
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

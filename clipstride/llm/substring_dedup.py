@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipstride.llm.words import chunks, column_of, words_of
+from clipstride.llm.words import chunks, column_of, in_sample, words_of
 
 WINDOW = 35
 #: Words in the runs that minimisers are chosen from.
@@ -151,7 +151,7 @@ def frequent_runs(rows: DataFrame, size: int, window: int) -> np.ndarray:
     most = max(2, share * BUCKET / 2 / (2 * window * 6))
     if size * SPREAD <= BUCKET:
         return NONE
-    some = rows if share == 1.0 else rows.where(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000))
+    some = rows if share == 1.0 else rows.where(in_sample(F.col("key"), share))
     found = some.mapInArrow(_runs(window), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     return np.sort(np.array([r["run"] for r in found.select("run").collect()], np.int64).view(np.uint64))  # at most words / most
 

@@ -8,11 +8,19 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Text bytes that a task works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
 
 
+def in_sample(hashed: Column, share: float | Column) -> Column:
+    """Whether a 64-bit hash falls into a share of all; 63 bits are compared, so no share is too small for large tables."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return (share >= 1) | (F.shiftrightunsigned(hashed, 1) < F.ceil(share * F.lit(2.0**63)))
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that none holds more than ``most`` bytes of ``column``, but for single longer rows."""
     for batch in batches:
