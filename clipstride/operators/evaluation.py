@@ -95,11 +95,11 @@ def compare_detectors(
 def auc(scored: DataFrame, score: str, is_true: str, keys: list[str] | None = None) -> DataFrame:
     """Chance that a true row outscores another one (ties count half); null if a class is empty.
 
-    Rows collapse to distinct scores before anything is ordered.
+    Rows collapse to distinct scores before anything is ordered; rows without a score take no part.
+    Without ``keys`` the whole table is one set.
     """
-    scope = keys or ["_all"]
-    rows = scored if keys else scored.withColumn("_all", F.lit(0))
-    counts = rows.groupBy(*scope, score).agg(
+    scope = keys or []
+    counts = scored.where(F.col(score).isNotNull()).groupBy(*scope, score).agg(
         F.count_if(F.col(is_true)).alias("p"), F.count_if(~F.col(is_true)).alias("n")
     )
     below = running(
@@ -109,7 +109,7 @@ def auc(scored: DataFrame, score: str, is_true: str, keys: list[str] | None = No
     return below.groupBy(*scope).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
         F.round(wins / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)), 9).alias("auc"),
-    ).drop("_all")
+    )
 
 
 def score_summary(scored: DataFrame, score: str, is_true: str, keys: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def mean_loudness(
 
 
 def tie_ranks(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Add ``rank``, best first; equal scores share the mean of their places."""
+    """Add ``rank``, best first; equal scores share the mean of their places.  Rows without a score are left out."""
     places = counts_before(scores, keys, score, descending=True).select(
         *keys, score, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")
     )
@@ -57,7 +57,7 @@ def tie_ranks(scores: DataFrame, keys: list[str], score: str = "score") -> DataF
 def unequal_axes(scores: DataFrame) -> DataFrame:
     """Jobs whose axes do not score the same number of candidates."""
     return (
-        scores.groupBy("job_id", "axis").agg(F.count(F.lit(1)).alias("n"))
+        scores.groupBy("job_id", "axis").agg(F.count("score").alias("n"))
         .groupBy("job_id").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
         .where("fewest <> most")
     )
@@ -67,7 +67,8 @@ def fuse(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Order every job's candidates by the weighted sum of their ranks.
 
     ``scores(job_id, candidate_id, axis, score)``, one row per axis present;
-    ``weights(job_id, axis, weight)``, absent means 0.  No candidate is dropped.
+    ``weights(job_id, axis, weight)``, absent means 0.  A null score is no score on
+    its axis; no candidate that has one is dropped.
     """
     ranked = tie_ranks(scores, ["job_id", "axis"])
     weighted = ranked.join(weights.select("job_id", "axis", "weight"), ["job_id", "axis"], "left")

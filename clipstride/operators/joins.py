@@ -22,37 +22,56 @@ def interval_join(
 ) -> DataFrame:
     """All pairs of equal ``on`` whose spans overlap.
 
-    Both sides are spread over the time buckets they touch and joined on
-    (keys, bucket); a pair is kept only in the first bucket both touch, so it
-    appears once.  No side is spread beyond the buckets that the other has, so one
-    endless span costs no more than the other side is long.  ``closed`` also accepts
-    spans that only touch.
+    Cells double in width from level to level.  A span's home is the lowest level at
+    which it touches at most two cells, so a long span has few rows like a short one.
+    Two spans that overlap meet where the longer one is at home: in its cells, or in
+    the cells that lie above the other's.  Each side is sent to its home and, of the
+    levels above, to those that the other side has, at most some sixty however long
+    the spans are.  A pair is kept only in the first cell both touch, so it appears
+    once.  ``width`` is that of the lowest cells; ``closed`` also accepts spans that only
+    touch.  Spans without a start or an end meet nothing.
     """
     on = list(on)
     ls, le = left_span
     rs, re_ = right_span
 
-    def touched(start: str, end: str) -> tuple[Column, Column]:
-        lo = time_bucket(F.col(start), width)
-        return lo, F.greatest(lo, time_bucket(F.col(end), width))
+    def at_home(df: DataFrame, start: str, end: str) -> DataFrame:
+        first = _cell(F.col(start), width)
+        apart = F.greatest(F.lit(0).cast("long"), _cell(F.col(end), width) - first)
+        home = F.when(apart <= 1, F.lit(0)).otherwise(F.length(F.bin(apart - 1)))
+        return df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns(
+            {"_first": first, "_last": first + apart, "_home": home})
 
-    def spread(df: DataFrame, start: str, end: str, first: str, other: DataFrame, o_start: str, o_end: str) -> DataFrame:
-        lo, hi = touched(start, end)
-        low = F.greatest(lo, other.select(F.min(touched(o_start, o_end)[0])).scalar())
-        high = F.least(hi, other.select(F.max(touched(o_start, o_end)[1])).scalar())
-        within = df.withColumn(first, lo).withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
-        return within.withColumn("_bucket", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    def levels(df: DataFrame, start: str, end: str) -> Column:
+        """The levels that a side is at home on: one row, however long the side is."""
+        return at_home(df.select(start, end), start, end).agg(F.collect_set("_home")).scalar()
 
-    a = spread(left, ls, le, "_first_l", right, rs, re_)
-    b = spread(right, rs, re_, "_first_r", left, ls, le)
+    def cells(df: DataFrame, levels: Column, name: str) -> DataFrame:
+        """A row for each cell that the spans touch on the given levels, from their home up."""
+        spread = df.withColumn("_level", F.explode(levels)).where("_level >= _home")
+        low, high = (F.expr(f"shiftright({c}, _level)") for c in ("_first", "_last"))
+        return spread.withColumns({name: low, "_high": high}).withColumn("_at", F.explode(F.sequence(name, "_high"))).drop(
+            "_first", "_last", "_home", "_high")
+
+    a, b = at_home(left, ls, le), at_home(right, rs, re_)
+    own = F.array(F.col("_home"))
+    meet = [*on, "_level", "_at"]
+    up = cells(a, levels(right, rs, re_), "_low_l").join(cells(b, own, "_low_r"), meet)
+    down = cells(a, own, "_low_l").join(cells(b.withColumn("_own", F.col("_home")), levels(left, ls, le), "_low_r").where("_level > _own"), meet)
     if closed:
         meets = (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))
     else:
         meets = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
-    once = F.col("_bucket") == F.greatest("_first_l", "_first_r")
-    return (
-        a.join(b, [*on, "_bucket"]).where(meets & once).drop("_bucket", "_first_l", "_first_r")
-    )
+    once = F.col("_at") == F.greatest("_low_l", "_low_r")
+    return up.union(down.drop("_own")).where(meets & once).drop("_level", "_at", "_low_l", "_low_r")
+
+
+#: Cells are numbered to this far from zero; what lies beyond shares the last one.
+FAR = 1 << 60
+
+
+def _cell(position: Column, width: float) -> Column:
+    return F.greatest(F.lit(-FAR), F.least(F.lit(FAR), time_bucket(position, width)))
 
 
 def points_within(

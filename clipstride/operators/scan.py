@@ -51,6 +51,7 @@ def running(
     totals = rows.groupBy(*cut).agg(
         *[_AGG[a.kind](f"_v_{n}").alias(f"_t_{n}") for n, a in columns.items()]
     )
+    # without keys one row for each bucket meets in one task
     before = (
         Window.partitionBy(*keys)
         .orderBy("_bucket")
@@ -131,30 +132,37 @@ def _total(df: DataFrame, order: Sequence[Column]) -> list[Column]:
     return [*order, *rest]
 
 
-def by_value(rows: DataFrame, keys: Sequence[str], value: str, *, descending: bool = False, cuts: int = 1024):
-    """Add ``_slot``, equal-width ranges of ``value`` between its key's extremes.
+#: Cut points per key are SIDE * SIDE quantiles; keys of fewer distinct values than this many are not cut.
+SIDE, UNCUT = 16, 4096
 
-    Slots follow the (ascending or descending) order of the value, so a key is ranked
-    by many tasks.  Callers collapse rows to distinct values first.
+
+def by_value(rows: DataFrame, keys: Sequence[str], value: str, *, descending: bool = False):
+    """Add ``_slot``, ranges of ``value`` that hold about equally many rows of their key.
+
+    Slots follow the (ascending or descending) order of the value, so a key is ranked by many
+    tasks.  They are cut at quantiles, from a sketch that is merged per key (the whole table
+    without ``keys``), so a few values far from the rest do not crowd the others into one slot.
+    Callers collapse rows to distinct values first, without nulls.
     """
     keys = list(keys)
-    span = rows.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")
-    )
-    position = F.when(
-        F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    ).otherwise(F.lit(0.0))
-    sign = -1.0 if descending else 1.0
-    return (
-        rows.join(span, keys)
-        .withColumn("_slot", F.floor(position * F.lit(sign * cuts)).cast("long"))
-        .drop("_lo", "_hi")
-    )
+    share = [(i + 1) / (SIDE * SIDE) for i in range(SIDE * SIDE - 1)]
+    cuts = F.percentile_approx(F.col(value).cast("double"), F.lit(share), F.lit(2000))
+    none = F.array().cast("array<double>")
+    sketch = rows.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > UNCUT, cuts).otherwise(none).alias("_cuts"))
+    # coarse cuts first, then those between two of them
+    if keys:
+        cut = rows.join(sketch, keys)
+    else:
+        cut = rows.withColumn("_cuts", sketch.scalar())
+    coarse = F.filter("_cuts", lambda x, i: (i % SIDE == SIDE - 1) & (x < F.col(value)))
+    fine = F.filter(F.slice("_cuts", F.col("_whole") * SIDE + 1, SIDE), lambda x: x < F.col(value))
+    slot = (F.col("_whole") * SIDE + F.size(fine)).cast("long")
+    return cut.withColumn("_whole", F.size(coarse)).withColumn("_slot", -slot if descending else slot).drop("_cuts", "_whole")
 
 
 def counts_before(df: DataFrame, keys: Sequence[str], value: str, *, descending: bool = False) -> DataFrame:
-    """Per distinct (key, value): ``n`` rows have it and ``before`` rows come first."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    """Per distinct (key, value): ``n`` rows have it and ``before`` rows come first.  Null values take no part."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     order = F.col(value).desc() if descending else F.col(value).asc()
     return running(
         by_value(counts, keys, value, descending=descending), keys, F.col("_slot"), [order],
