@@ -3,7 +3,8 @@
 A word (a piece of text that no merge crosses) is first cut greedily into the longest tokens. Merging would give the
 same tokens if every token merges to itself and every adjacent pair is compatible: while the merges of both tokens are
 undone from the last to the first, no pair that stood at their seam may have a merge that came earlier than the one
-just undone. All distinct pairs of a batch are tested at once. Words with an incompatible pair are merged by rank.
+just undone. All distinct pairs of a batch are tested at once. Words with an incompatible pair are merged by rank, a merge
+of each in every round over all of them.
 
 A worker remembers its latest distinct words, so common words are done once. Nothing is shuffled.
 
@@ -39,6 +40,14 @@ PIECES = re.compile(f" ?[^{ASCII_SPACE}]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[
 ASCII_PARTS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{ASCII_SPACE}A-Za-z0-9]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[{ASCII_SPACE}]+")
 
+#: The same for texts below LATIN_END without OTHER_SPACE: fixed letters (L) and numbers (N) of Unicode there.
+LATIN_END = "\u0250"
+LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PARTS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{ASCII_SPACE}{LETTERS}{NUMBERS}]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[{ASCII_SPACE}]+")
+#: Bytes of a prefix by which tokens are proposed; bytes of a word from which it is merged alone, by a heap.
+PREFIX, LONG = 4, 64
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary file: itself if it prints, else the next from U+0100 on."""
@@ -66,7 +75,10 @@ class ByteBPE:
         self.id_of = {self.spelled[i]: i for i in vocab.values() if i not in special}
         self.longest: dict[bytes, int] = {}
         for token in self.id_of:
-            self.longest[token[:2]] = max(self.longest.get(token[:2], 1), len(token))
+            if len(token) >= PREFIX:
+                self.longest[token[:PREFIX]] = max(self.longest.get(token[:PREFIX], PREFIX), len(token))
+        self.text = [str(i).encode() for i in range(size)]
+        self.of_byte = np.array([self.id_of[bytes([x])] for x in range(256)], np.int64)
         self.rank = np.full(size, -1, np.int64)
         self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -79,6 +91,7 @@ class ByteBPE:
         order = np.argsort(keys)
         self.size, self.keys = size, keys[order]
         self.ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.made = np.array([m for _, m in self.merges.values()], np.int64)
         made = np.flatnonzero(self.rank >= 0)
         own = self.compatible(self.left[made], self.right[made], self.rank[made])
         self.whole = np.ones(size, bool)  # tokens that merging gives for their own bytes
@@ -122,31 +135,18 @@ class ByteBPE:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest tokens."""
-        out, at, size = [], 0, len(word)
+        out, at, size, longest, id_of = [], 0, len(word), self.longest, self.id_of
         while at < size:
-            to = min(size, at + self.longest.get(word[at : at + 2], 1))
-            while (token := self.id_of.get(word[at:to])) is None:
+            to = min(size, at + longest.get(word[at : at + PREFIX], PREFIX - 1))
+            while (token := id_of.get(word[at:to])) is None:
                 to -= 1
             out.append(token)
             at = to
         return out
 
     def merged(self, word: bytes) -> list[int]:
-        """Exact merging, lowest rank first and from the left."""
-        ids = [self.id_of[bytes([x])] for x in word]
-        merges = self.merges
-        if len(ids) < 40:
-            none = (NEVER, 0)
-            found = [merges.get(p, none) for p in zip(ids, ids[1:])]
-            while found and (least := min(found)) is not none:
-                at = found.index(least)
-                ids[at : at + 2] = [least[1]]
-                del found[at]
-                if at:
-                    found[at - 1] = merges.get((ids[at - 1], ids[at]), none)
-                if at < len(found):
-                    found[at] = merges.get((ids[at], ids[at + 1]), none)
-            return ids
+        """Exact merging of one word, lowest rank first and from the left."""
+        ids, merges = [self.id_of[bytes([x])] for x in word], self.merges
         after, before, heap = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)], []
 
         def offer(i: int) -> None:
@@ -167,6 +167,46 @@ class ByteBPE:
             offer(i)
         return [x for x in ids if x >= 0]
 
+    def merged_all(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of many words at once: in each round every word makes its next merge."""
+        size = np.array([len(w) for w in words], np.int64)
+        ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), size)
+        last = np.ones(len(ids), bool)  # of its word
+        last[:-1] = owner[1:] != owner[:-1]
+        ranks = np.full(len(ids), NEVER)
+        inner = np.flatnonzero(~last)
+        ranks[inner] = self.merge_ranks(ids[inner], ids[inner + 1])
+        out: list[list[int]] = [[] for _ in words]
+        while len(ids):
+            starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
+            least = np.minimum.reduceat(ranks, starts)
+            count = np.diff(np.append(starts, len(ids)))
+            done = least == NEVER
+            if done.any():
+                ready = np.repeat(done, count)
+                flat, at = ids[ready].tolist(), 0
+                for word, n in zip(owner[starts[done]].tolist(), count[done].tolist()):
+                    out[word] = flat[at : at + n]
+                    at += n
+                ids, owner, last, ranks = ids[~ready], owner[~ready], last[~ready], ranks[~ready]
+                least, count = least[~done], count[~done]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(ranks == np.repeat(least, count))
+            hit = hit[np.concatenate(([True], owner[hit][1:] != owner[hit][:-1]))]  # the one furthest left
+            ids[hit] = self.made[ranks[hit]]
+            last[hit] = last[hit + 1]
+            kept = np.ones(len(ids), bool)
+            kept[hit + 1] = False
+            place = hit - np.arange(len(hit))
+            ids, owner, last, ranks = ids[kept], owner[kept], last[kept], ranks[kept]
+            ranks[place] = NEVER
+            left = place[(place > 0) & ~last[place - 1]] - 1
+            again = np.concatenate([place[~last[place]], left])
+            ranks[again] = self.merge_ranks(ids[again], ids[again + 1])
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words that no merge crosses the ends of."""
         out = [self.proposed(w) for w in words]
@@ -179,12 +219,19 @@ class ByteBPE:
         seam = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, which = np.unique(flat[seam] * self.size + flat[seam + 1], return_inverse=True)
         failed.append(owner[seam[~self.compatible(pairs // self.size, pairs % self.size)[which]]])
-        for i in np.unique(np.concatenate(failed)).tolist():
-            out[i] = self.merged(words[i])
+        failed = np.unique(np.concatenate(failed)).tolist()
+        short = [i for i in failed if len(words[i]) < LONG]
+        for i, ids in zip(short, self.merged_all([words[i] for i in short])):
+            out[i] = ids
+        for i in failed:
+            if len(words[i]) >= LONG:
+                out[i] = self.merged(words[i])
         return out
 
     def parts(self, piece: str) -> list[bytes]:
         """The words of a piece, as the vocabulary's pattern cuts it."""
+        if max(piece) < LATIN_END and (piece.isalpha() or piece[0] == " " and piece[1:].isalpha()):
+            return [piece.encode()]
         if piece.isascii():
             return [p.encode() for p in ASCII_PARTS.findall(piece)]
         return [piece[a:b].encode() for _, (a, b) in self.splitter.pre_tokenize_str(piece)]
@@ -193,7 +240,7 @@ class ByteBPE:
         """Pieces that the pattern cuts alike alone and in the text, and special tokens."""
         if OTHER_SPACE.search(text):  # white space that joins with its neighbours: the pattern over the whole
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
-        return PIECES.findall(text)
+        return (LATIN_PARTS if not text or max(text) < LATIN_END else PIECES).findall(text)
 
     def split(self, text: str) -> list[str]:
         if not any(t in text for t in self.special):
@@ -211,7 +258,7 @@ class ByteBPE:
         self.words.update(zip(words, self.encode_words(words)))
         for piece, own in zip(new, parts):
             ids = [i for w in own for i in self.words[w]] if own else [self.special[piece]]
-            self.known[piece] = len(ids), ",".join(map(str, ids)).encode(), self.decode_bytes(ids)
+            self.known[piece] = len(ids), b",".join([self.text[i] for i in ids]), self.decode_bytes(ids)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
