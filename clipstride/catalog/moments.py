@@ -227,6 +227,46 @@ def selection_prompts(t: Tables) -> DataFrame:
     return mo.selection_prompts(written(_merged(t)), t.segments)
 
 
+def _picking(prompts: list[str]) -> list[str]:
+    """A model whose picks follow from the length of what it is asked; at every fourth length it names none."""
+    return [f"I pick [{n % 7}, {n % 5}, {n % 11}, {n % 2}]" if (n := len(p)) % 4 else "hard to say" for p in prompts]
+
+
+def _picked_sql(rows: str, name: str) -> str:
+    """CTEs that rank the lists of ``rows(job_id, list_no, idx, size, keep, confidence, told)`` into ``name``."""
+    picks = "[n % 7, n % 5, n % 11, n % 2]"
+    return f"""
+    {name}_asked as (select job_id, list_no, any_value(size) as size, any_value(keep) as keep,
+        length('Choose at most ' || any_value(keep) || ' of these moments, best first. Answer with a JSON array of their numbers.' || chr(10)
+               || string_agg('[' || idx || '] ' || told, chr(10) order by idx)) as n
+      from {rows} where size > keep group by job_id, list_no),
+    {name}_named as (select job_id, list_no, list_slice(list_filter({picks}, lambda x, i: x < size and list_position({picks}, x) = i), 1, keep) as named
+      from {name}_asked where n % 4 <> 0),
+    {name} as (select * from (
+      select r.*, case when size <= keep then idx when len(named) > 0 then list_position(named, idx) - 1
+                       else row_number() over (partition by r.job_id, r.list_no order by confidence desc, idx) - 1 end as pos
+      from {rows} r left join {name}_named a on a.job_id = r.job_id and a.list_no = r.list_no) where pos < keep)"""
+
+
+@query("ranked_shortlist", f"""
+    with placed as (
+      select m.*, row_number() over (partition by m.job_id order by start_sec, end_sec, m.moment_id) - 1 as nth, count(*) over (partition by m.job_id) as total,
+             printf('%.0f', start_sec) || 's: ' || reason || ' | ' || coalesce(excerpt, '') as told
+      from merged m left join merged_said s on s.job_id = m.job_id and s.moment_id = m.moment_id),
+    one as (select *, nth // 3 as list_no, nth % 3 as idx, least(3, total - nth // 3 * 3) as size,
+                   (case when ceil(total / 3e0) = 1 then 2 else greatest(1, ceil(4e0 / ceil(total / 3e0))) end)::bigint as keep from placed where total > 2),
+    {_picked_sql('one', 'survived')},
+    two as (select * replace (row_number() over (partition by job_id order by list_no, pos) - 1 as idx, 0 as list_no,
+                              count(*) over (partition by job_id) as size, 2 as keep) from survived),
+    {_picked_sql('(select * exclude (pos) from two)', 'final')}
+    select job_id, moment_id, start_sec, end_sec, confidence, nth + 1 as place from placed where total <= 2
+    union all select job_id, moment_id, start_sec, end_sec, confidence, pos + 1 from final""")
+def ranked_shortlist(t: Tables) -> DataFrame:
+    """Short lists, so that most recordings go through both passes."""
+    return mo.ranked_shortlist(written(_merged(t)), t.segments, _picking, target=2, batch=3).select(
+        "job_id", "moment_id", "start_sec", "end_sec", "confidence", "place")
+
+
 def _centres(t: Tables) -> DataFrame:
     return t.moments.select(
         "job_id", F.col("moment_id").alias("candidate_id"), "confidence",

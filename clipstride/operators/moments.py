@@ -13,6 +13,7 @@ from clipstride.functions import text as tx
 from clipstride.functions.intervals import overlap_ratio
 from clipstride.operators.greedy import keep_disjoint
 from clipstride.operators.scan import ordinal, time_bucket
+from clipstride.operators.store import written
 from clipstride.operators.windows import excerpts
 
 # Fixed values.
@@ -272,3 +273,66 @@ def selection_prompts(
         F.array_join(F.transform("lines", lambda x: x["line"]), "\n"),
     )
     return listed.select("job_id", "batch_no", text.alias("prompt"))
+
+
+def _ranked(rows: DataFrame, generate: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Let a model keep the best ``keep`` of each list ``(job_id, list_no)``, in its order.
+
+    ``rows``: also idx (place in the list), size (of the list), keep, confidence and line. A list that is no longer than
+    ``keep`` passes unasked. Where the answer names none of the list, confidence decides. Adds ``pos``, the place among the kept.
+    """
+    name = ["job_id", "list_no"]
+    asked = rows.where("size > keep").groupBy(*name).agg(
+        F.first("size").alias("size"), F.first("keep").alias("keep"), F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("lines"))
+    prompt = F.concat(
+        F.lit("Choose at most "), F.col("keep").cast("string"),
+        F.lit(" of these moments, best first. Answer with a JSON array of their numbers.\n"),
+        F.array_join(F.transform("lines", lambda x: x["line"]), "\n"),
+    )
+    answers = written(answer(asked.select(*name, "size", "keep", prompt.alias("prompt")), generate))  # a model is dear
+    named = answers.select(*name, F.slice(rs.index_list(F.col("raw"), F.col("size")), 1, F.col("keep").cast("int")).alias("named")).where(F.size("named") > 0)
+    picks = named.select(*name, F.posexplode("named").alias("pick", "idx")).withColumn("idx", F.col("idx").cast("long"))
+    joined = rows.join(named.select(*name, F.lit(True).alias("_answered")), name, "left").join(picks, [*name, "idx"], "left")
+    sure = Window.partitionBy(*name).orderBy(F.desc("confidence"), "idx")  # one list, as long as a prompt
+    pos = F.when(F.col("size") <= F.col("keep"), F.col("idx")).when(F.col("_answered"), F.col("pick")).otherwise(F.row_number().over(sure) - 1)
+    return joined.withColumn("pos", pos.cast("long")).where(F.col("pos") < F.col("keep")).drop("_answered", "pick")
+
+
+def ranked_shortlist(
+    moments: DataFrame, segments: DataFrame, generate: Callable[[list[str]], list[str]], target: int = SHORTLIST, batch: int = BATCH
+) -> DataFrame:
+    """The ``target`` best moments of each job in a model's order, as ``moments`` with ``place`` (from 1).
+
+    A job with no more than ``target`` moments keeps them in order of time. A model first ranks every ``batch`` consecutive
+    moments in a prompt of their own, so that no part of a recording falls off the end of a long prompt, and then, where
+    more than ``target`` survive, the survivors of the job. Lists are ranked as in ``_ranked``; its fallback holds list by list.
+    """
+    spans = moments.select(
+        "job_id", F.col("moment_id").alias("span_id"), F.col("start_sec").alias("w_start"), F.col("end_sec").alias("w_end"))
+    said = excerpts(spans, segments).withColumnRenamed("span_id", "moment_id")
+    placed = ordinal(
+        moments, ["job_id"], time_bucket(F.col("start_sec"), 600.0), [F.col("start_sec"), F.col("end_sec"), F.col("moment_id")], "_at")
+    totals = moments.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    rest = [c for c in moments.columns if c not in ("job_id", "confidence")]
+    rows = written(placed.join(totals, "job_id").join(said, ["job_id", "moment_id"], "left").select(
+        "job_id", "confidence", F.struct(*rest).alias("row"), F.col("_at").alias("at"), "total",
+        F.concat(whole(F.col("start_sec")), F.lit("s: "), F.col("reason"), F.lit(" | "), F.coalesce("excerpt", F.lit(""))).alias("told")))
+    columns = ["job_id", "confidence", "row", "place"]
+
+    def listed(df: DataFrame) -> DataFrame:
+        return df.withColumn("line", F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), F.col("told")))
+
+    lists = F.ceil(F.col("total") / batch)
+    share = F.when(lists == 1, F.lit(target)).otherwise(F.greatest(F.lit(1), F.ceil(F.lit(2 * target) / lists)))
+    first = rows.where(F.col("total") > target).withColumns(
+        {"list_no": F.floor(F.col("at") / batch), "idx": F.col("at") % batch, "keep": share.cast("long")})
+    size = F.least(F.lit(batch), F.col("total") - F.col("list_no") * batch)
+    survivors = written(_ranked(listed(first.withColumn("size", size)), generate).drop("size", "keep", "idx", "line"))
+    left = survivors.groupBy("job_id").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("job_id").orderBy("list_no", "pos")  # two lists long, or one moment of each list
+    again = survivors.join(left, "job_id").withColumns(
+        {"idx": (F.row_number().over(order) - 1).cast("long"), "list_no": F.lit(0).cast("long"), "keep": F.lit(target).cast("long")}).drop("pos")
+    final = _ranked(listed(again), generate).withColumn("place", F.col("pos") + 1)
+    few = rows.where(F.col("total") <= target).withColumn("place", F.col("at") + 1)
+    return few.select(*columns).unionByName(final.select(*columns)).select("job_id", "confidence", "row.*", F.col("place").cast("long")).select(
+        *moments.columns, "place")
