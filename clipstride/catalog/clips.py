@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipstride.catalog import query
+from clipstride.catalog import SQL, query
 from clipstride.catalog.inputs import Tables, add_view
 from clipstride.operators import captions as cp
+from clipstride.operators.store import fresh_path
+from clipstride.sources import captions, results, schemas, tables
 
 
 def clips(t: Tables) -> DataFrame:
@@ -83,3 +85,39 @@ def caption_events(t: Tables) -> DataFrame:
     from caption_lines group by job_id, candidate_id""")
 def caption_documents(t: Tables) -> DataFrame:
     return cp.caption_documents(clips(t), t.segments, vertical=True, time_offset=1.5)
+
+
+@query("caption_files")
+def caption_files(t: Tables) -> DataFrame:
+    """Every clip's caption file, written twice and read back: the second write replaces the first."""
+    path = fresh_path(t.spark)
+    documents = caption_documents(t)
+    captions.write_caption_files(documents.withColumn("content", F.lit("outdated")), path, 8)
+    captions.write_caption_files(documents, path, 8)
+    return captions.read_caption_files(t.spark, path)
+
+
+SQL["caption_files"] = SQL["caption_documents"]
+
+
+@query("labels_json", """
+    select source::varchar as source, start_sec, end_sec, case when label_id % 3 = 0 then '' else 'label ' || label_id end as note from gt_labels""")
+def labels_json(t: Tables) -> DataFrame:
+    """Labels as JSON files and back; every third has no note."""
+    path = fresh_path(t.spark)
+    note = F.when(F.col("label_id") % 3 != 0, F.concat(F.lit("label "), F.col("label_id").cast("string")))
+    tables.write_json(t.gt_labels.select(F.col("source").cast("string").alias("source"), "start_sec", "end_sec", note.alias("note")), path)
+    return results.read_label_lines(t.spark, path)
+
+
+@query("evaluation_files", """
+    select job_id, moment_id, start_sec::double as start_sec, end_sec::double as end_sec, confidence as score from moments""")
+def evaluation_files(t: Tables) -> DataFrame:
+    """Scored candidates as JSON for evaluation tools, read back from either spelling."""
+    path = fresh_path(t.spark)
+    later = F.col("moment_id") % 2 == 1
+    spelt = {"start_sec": (~later, "start_sec"), "startSec": (later, "start_sec"), "end_sec": (~later, "end_sec"), "endSec": (later, "end_sec")}
+    tables.write_json(t.moments.select(
+        "job_id", "moment_id", F.col("confidence").alias("score"), *[F.when(when, F.col(c).cast("double")).alias(n) for n, (when, c) in spelt.items()]), path)
+    rows = t.spark.read.schema(f"job_id long, moment_id long, {schemas.CANDIDATES_JSON}").json(path)
+    return results.coalesce_spellings(rows)

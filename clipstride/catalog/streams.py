@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from clipstride.catalog import SQL, lifecycle, query
 from clipstride.catalog.inputs import Tables, add_view
+from clipstride.functions.lifecycle import lookup
 from clipstride.operators.store import fresh_path, written
+from clipstride.operators.windows import durations
 from clipstride.sources import tables
+from clipstride.sources.results import nested_results
+from clipstride.sources.schemas import RESULT
 from clipstride.streaming import live, state
 from clipstride.streaming.run import drain, drain_batches, stateful, stream_of
 
@@ -42,19 +46,22 @@ def stream_high_water_mark(t: Tables) -> DataFrame:
 
 @_stream("stream_heartbeat_watchdog", "stale_tasks")
 def stream_heartbeat_watchdog(t: Tables) -> DataFrame:
-    """Heartbeats up to the reference date; a last one on that date moves the clock there."""
+    """All heartbeats; a last one on the reference date moves the clock there, and reports due after it are not of that date."""
     stateful(t.spark)
     as_of = lifecycle.when(lifecycle.AS_OF)
+    now = F.unix_micros(as_of.cast("timestamp"))
     beat = F.col("last_heartbeat_at")
-    beats = t.tasks.where(beat.isNotNull() & (beat < as_of)).select(
+    beats = t.tasks.where(beat.isNotNull()).select(
         "task_id", "task_type", "status", F.unix_micros(beat.cast("timestamp")).alias("us"), beat.cast("timestamp").alias("ts")
     )
     clock = t.spark.range(1).select(
         F.lit(-1).cast("long").alias("task_id"), F.lit("EXPORT").alias("task_type"), F.lit("SUCCEEDED").alias("status"),
-        F.unix_micros(as_of.cast("timestamp")).alias("us"), as_of.cast("timestamp").alias("ts"),
+        now.alias("us"), as_of.cast("timestamp").alias("ts"),
     )
     found = drain(state.watchdog(stream_of(beats.unionByName(clock)), lifecycle.STALE_DAYS))
-    return found.join(t.tasks.select("task_id", "job_id"), "task_id").select(
+    allowed = lookup(F.col("task_type"), {k: F.lit(v).cast("long") for k, v in lifecycle.STALE_DAYS.items()})
+    due = found.where(F.col("last_heartbeat_us") + allowed * 1_000_000 < now).select("task_id", "last_heartbeat_us")
+    return due.join(t.tasks.select("task_id", "job_id", "task_type"), "task_id").select(
         "task_id", "job_id", "task_type",
         F.date_format(F.timestamp_micros("last_heartbeat_us"), "yyyy-MM-dd HH:mm").alias("last_heartbeat_at"),
     )
@@ -77,6 +84,28 @@ def stream_status_projection(t: Tables) -> DataFrame:
     )
 
 
+@query("stream_forward_projection", """
+    select job_id, status as stored_status, case when status in ('CANCELED', 'FAILED', 'READY_FOR_REVIEW', 'EXPORTING_CLIP', 'COMPLETED') then status
+           else 'READY_FOR_REVIEW' end as projected_status from jobs""")
+def stream_forward_projection(t: Tables) -> DataFrame:
+    """Three triggers: the analysis ends, the download before it is heard of, and an outdated row comes last."""
+    at, projection = fresh_path(t.spark), fresh_path(t.spark)
+    jobs = written(t.jobs)
+    names = [c.split()[0] for c in live.TASKS.split(", ")]
+
+    def trigger(n: int, kind: str, status: str, day: int) -> DataFrame:
+        when = F.lit(f"2000-01-{day:02}").cast("timestamp_ntz")
+        known = {"task_id": F.col("job_id") * 10 + n, "job_id": F.col("job_id"), "task_type": F.lit(kind), "status": F.lit(status),
+                 "attempt_count": F.lit(1).cast("long"), "updated_at": when, "finished_at": when}
+        kinds = dict(c.split() for c in live.TASKS.split(", "))
+        return jobs.select(*[known.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in names])
+
+    handle = live.project_live(jobs, at, projection, buckets=8)
+    for update in (trigger(1, "ANALYZE", "SUCCEEDED", 3), trigger(2, "DOWNLOAD", "SUCCEEDED", 4), trigger(1, "ANALYZE", "QUEUED", 2)):
+        drain_batches(stream_of(update), handle)
+    return tables.read_by_job(t.spark, projection, live.PROJECTION).select("job_id", "stored_status", "projected_status")
+
+
 @_stream("stream_callback_admission", "callback_admission")
 def stream_callback_admission(t: Tables) -> DataFrame:
     callbacks = stream_of(lifecycle.callback_rows(t.table("events")))
@@ -162,23 +191,19 @@ def stream_speech_sessions(t: Tables) -> DataFrame:
     return drain(live.speech_sessions(stream_of(clock))).withColumnRenamed("words", "n_words")
 
 
-def _delivery(t: Tables, n: int) -> DataFrame:
-    """All segments as results of version ``n``, in parts of a minute per recording."""
-    lists = F.transform(
-        "words", lambda w: F.struct(w["word"].alias("word"), w["start_sec"].alias("startSec"), w["end_sec"].alias("endSec"))
-    )
-    segment = F.struct(F.col("start_sec").alias("startSec"), F.col("end_sec").alias("endSec"), "text",
-                       F.col("word_count").alias("wordCount"), lists.alias("words"))
-    part = F.floor(F.col("start_sec") / 60.0).cast("long").alias("part")
-    docs = t.segments.groupBy(F.col("job_id").alias("jobId"), part).agg(
-        F.array_sort(F.collect_list(segment)).alias("transcriptSegments")
-    )
-    from clipstride.sources.schemas import RESULT
+def _windows(t: Tables) -> DataFrame:
+    """Windows as an analysis might deliver them."""
+    return t.moments.select(
+        "job_id", "start_sec", "end_sec", (F.col("end_sec") - F.col("start_sec")).alias("speech_density"), F.lit(0.25).alias("silence_ratio"),
+        (F.col("moment_id") % 5).alias("emotion_hits"), F.lit(0.5).alias("continuity_score"), F.col("confidence").alias("total_score"))
 
-    names = docs.sparkSession.createDataFrame([], RESULT)
 
+def _delivery(t: Tables, n: int) -> DataFrame:
+    """Segments, silence, windows and candidates as results of version ``n``, in parts of a minute per recording."""
+    candidates = t.moments.select("job_id", "start_sec", "end_sec", F.col("confidence").alias("score"), F.col("reason").alias("excerpt"))
+    docs = nested_results(t.segments, t.silence, _windows(t), candidates, durations(t.segments, t.silence), 60.0)
     rows = docs.withColumn("processingVersion", F.lit(n).cast("long")).withColumn("executionId", F.lit(n).cast("long"))
-    return names.unionByName(rows, allowMissingColumns=True)
+    return t.spark.createDataFrame([], RESULT).unionByName(rows, allowMissingColumns=True)
 
 
 @query("stream_result_ingest_batches", "select job_id, start_sec, end_sec, text, word_count from segments")
@@ -206,3 +231,25 @@ def stream_result_ingest(t: Tables) -> DataFrame:
     return stored.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("n_segments"), F.sum("word_count").alias("n_words")
     )
+
+
+@query("stream_result_ingest_tables", """
+    select 'segments' as kind, job_id, start_sec::double as start_sec, end_sec::double as end_sec, word_count::double as value, text as said from segments
+    union all select 'silence', job_id, start_sec, end_sec, round(end_sec - start_sec, 6), null from silence
+    union all select 'windows', job_id, start_sec, end_sec, confidence, (moment_id % 5)::varchar from moments where job_id in (select job_id from segments)
+    union all select 'candidates', job_id, start_sec, end_sec, confidence, reason from moments where job_id in (select job_id from segments)""")
+def stream_result_ingest_tables(t: Tables) -> DataFrame:
+    """All four lists of results over two batches, an older version last."""
+    root = fresh_path(t.spark)
+    handle = live.ingest_results(root, buckets=8)
+    new, old = written(_delivery(t, 2)), _delivery(t, 1)
+    for batch in (new.where("part % 2 = 0"), new.where("part % 2 = 1"), old.where("part = 0")):
+        drain_batches(stream_of(batch), handle)
+    value = {"segments": ("word_count", "text"), "silence": ("duration_sec", None), "windows": ("total_score", "emotion_hits"), "candidates": ("score", "excerpt")}
+    out = None
+    for name, (number, said) in value.items():
+        rows = tables.read_by_job(t.spark, f"{root}/{name}", live.RESULT_TABLES[name]).select(
+            F.lit(name).alias("kind"), "job_id", "start_sec", "end_sec", F.col(number).cast("double").alias("value"),
+            (F.col(said) if said else F.lit(None)).cast("string").alias("said"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -145,7 +145,7 @@ def throttle_progress(updates: DataFrame, interval_us: int = 1_000_000) -> DataF
         for frame in frames:
             keep = []
             for row in frame.itertuples(index=False):
-                now = (row.percent, row.message)
+                now = tuple(None if pd.isna(x) else x for x in (row.percent, row.message))
                 passes = row.opens or (now != sent and row.us - sent_us >= interval_us)
                 if passes:
                     sent_us, sent = row.us, now

@@ -50,6 +50,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LABELS).json(path, multiLine=True).withColumn("note", F.coalesce("note", F.lit("")))
 
 
+def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files of one JSON object a line, which many tasks read."""
+    return spark.read.schema(schemas.LABELS).json(path).withColumn("note", F.coalesce("note", F.lit("")))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT).json(path)
 

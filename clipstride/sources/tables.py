@@ -34,6 +34,13 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def stored_jobs(spark: SparkSession, path: str, schema: str, jobs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """What is stored for ``jobs(job_id)``; only the directories that may hold them are read."""
+    numbers = [r.job_bucket for r in jobs.select(job_bucket(buckets).alias("job_bucket")).distinct().collect()]  # at most ``buckets``
+    stored = read_or_empty(spark, path, f"{schema}, job_bucket int").where(F.col("job_bucket").isin(numbers)).drop("job_bucket")
+    return stored.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+
+
 def replace_jobs(rows: DataFrame, jobs: DataFrame, path: str, schema: str, buckets: int = BUCKETS) -> None:
     """Replace everything stored for ``jobs(job_id)`` by ``rows``; others stay.
 

@@ -73,7 +73,11 @@ def admit(callbacks: DataFrame, jobs: DataFrame, executions: DataFrame) -> DataF
 
 
 def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets: int = tables.BUCKETS):
-    """A batch handler: upsert task updates, then project the jobs they touch."""
+    """A batch handler: upsert task updates, then project the jobs they touch.
+
+    A job goes on from its own last projection, so that success of an earlier step that is heard of late does not
+    take it back, unless its row in ``jobs`` has got another status since: then from that row.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -83,7 +87,7 @@ def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets
     def project(spark: SparkSession, batch: DataFrame) -> None:
         rows = written(batch)
         touched = rows.select("job_id").distinct()
-        stored = _stored(spark, tasks_path, TASKS).join(touched, "job_id", "left_semi")
+        stored = tables.stored_jobs(spark, tasks_path, TASKS, touched, buckets)
         current = stored.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
         rest = [c for c in rows.columns if c != "task_id"]
         latest = written(
@@ -92,8 +96,15 @@ def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets
             .select("task_id", "best.row.*").select(*rows.columns)
         )
         tables.replace_jobs(latest, touched, tasks_path, TASKS, buckets)
-        projected = op.project_status(jobs.join(touched, "job_id", "left_semi"), latest)
-        tables.replace_jobs(projected, touched, projection_path, PROJECTION, buckets)
+        rows_of = jobs.join(touched, "job_id", "left_semi")
+        last = tables.stored_jobs(spark, projection_path, PROJECTION, touched, buckets)
+        goes_on = last.select("job_id", F.col("stored_status").alias("_based_on"), F.struct(*[c for c in last.columns if c != "job_id"]).alias("_last"))
+        known = rows_of.join(goes_on, "job_id", "left").withColumn("_on", F.coalesce(F.col("_based_on") == F.col("status"), F.lit(False)))
+        named = {"status": "projected_status"} | {c: c for c in ("progress_percent", "progress_message", "updated_at", "current_worker_id", "finished_at")}
+        known = known.withColumns({c: F.when(F.col("_on"), F.col(f"_last.{p}")).otherwise(F.col(c)) for c, p in named.items()})
+        projected = op.project_status(known.drop("_based_on", "_last", "_on"), latest).drop("stored_status").join(
+            rows_of.select("job_id", F.col("status").alias("stored_status")), "job_id")
+        tables.replace_jobs(written(projected), touched, projection_path, PROJECTION, buckets)
 
     return handle
 
@@ -111,7 +122,7 @@ def ingest_results(root: str, buckets: int = tables.BUCKETS):
         with scope(spark):
             fresh = written(batch.withColumn("job_id", F.col("jobId").cast("long")))
             jobs = fresh.select("job_id").distinct()
-            stored = _stored(spark, f"{root}/deliveries", shape).join(jobs, "job_id", "left_semi")
+            stored = tables.stored_jobs(spark, f"{root}/deliveries", shape, jobs, buckets)
             known = written(stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))))
             newest = known.groupBy("jobId").agg(F.max(F.struct("processingVersion", "executionId")).alias("v"))
             latest = Window.partitionBy("jobId", "part").orderBy(F.desc("_new"))
@@ -125,7 +136,3 @@ def ingest_results(root: str, buckets: int = tables.BUCKETS):
             tables.replace_jobs(current, jobs, f"{root}/deliveries", shape, buckets)
 
     return handle
-
-
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return tables.read_or_empty(spark, path, f"{schema}, job_bucket int").drop("job_bucket")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from clipstride.functions.lifecycle import STALE_AFTER_SEC
@@ -20,51 +21,79 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["us", "event_id"])
 
 
-class Throttle(StatefulProcessor):
-    """Passes a change of stage; otherwise nothing repeated and nothing too soon."""
+def _plain(value):
+    """A null as None; a column of whole numbers with nulls comes as floats."""
+    return None if pd.isna(value) else int(value) if isinstance(value, float) else value
 
-    def __init__(self, interval_us: int):
-        self.interval_us = interval_us
+
+class Ending(StatefulProcessor):
+    """Remembers one value per job, until ``keep_sec`` of the stream's own time after it was last set."""
+
+    shape = ""
+
+    def __init__(self, keep_sec: float):
+        self.keep_ms = int(keep_sec * 1000)
 
     def init(self, handle) -> None:
-        self.sent = handle.getValueState("sent", "us long, stage string, percent long, message string")
+        self.handle = handle
+        self.state = handle.getValueState("state", f"{self.shape}, ends_ms long")
+
+    def recall(self):
+        return self.state.get() if self.state.exists() else None
+
+    def remember(self, value: tuple, us: int) -> None:
+        if (old := self.recall()) is not None:
+            self.handle.deleteTimer(old[-1])
+        ends = us // 1000 + self.keep_ms
+        self.handle.registerTimer(ends)
+        self.state.update((*value, ends))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Throttle(Ending):
+    """Passes a change of stage; otherwise nothing repeated and nothing too soon."""
+
+    shape = "us long, stage string, percent long, message string"
+
+    def __init__(self, interval_us: int, keep_sec: float):
+        super().__init__(keep_sec)
+        self.interval_us = interval_us
 
     def handleInputRows(self, key, rows, timerValues):
-        last = self.sent.get() if self.sent.exists() else None
+        last = None if (found := self.recall()) is None else tuple(found)[:-1]
         passed = []
         for row in _in_order(rows).itertuples(index=False):
-            now = (row.us, row.stage, row.percent, row.message)
+            now = (row.us, row.stage, _plain(row.percent), row.message)
             if last is not None and last[1] == row.stage:
-                if tuple(last[2:]) == now[2:] or row.us - last[0] < self.interval_us:
+                if last[2:] == now[2:] or row.us - last[0] < self.interval_us:
                     continue
             last = now
             passed.append((key[0], row.event_id, *now))
         if passed:
-            self.sent.update(tuple(last))
+            self.remember(last, last[0])
             yield pd.DataFrame(passed, columns=["job_id", "event_id", "us", "stage", "percent", "message"])
 
-    def close(self) -> None:
-        pass
-
 
-class HighWaterMark(StatefulProcessor):
-    """Passes only values above everything seen before."""
+class HighWaterMark(Ending):
+    """Passes only values above everything seen before; a job that comes back after its mark has ended starts anew."""
 
-    def init(self, handle) -> None:
-        self.mark = handle.getValueState("mark", "value long")
+    shape = "value long"
 
     def handleInputRows(self, key, rows, timerValues):
-        mark = self.mark.get()[0] if self.mark.exists() else 0
+        mark = 0 if (found := self.recall()) is None else found[0]
         frame = _in_order(rows)
         before = frame["value"].cummax().shift(1).fillna(mark).clip(lower=mark)
         passed = frame[frame["value"] > before]
         if len(passed):
-            self.mark.update((int(passed["value"].max()),))
+            self.remember((int(passed["value"].max()),), int(passed["us"].max()))
             yield passed[["job_id", "event_id", "us", "value"]]
 
-    def close(self) -> None:
-        pass
-
 
 class Watchdog(StatefulProcessor):
     """Reports a task once when its heartbeat stays away for longer than allowed."""
@@ -99,16 +128,22 @@ class Watchdog(StatefulProcessor):
         pass
 
 
-def throttle(updates: DataFrame, interval_us: int = 1_000_000) -> DataFrame:
-    return updates.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=Throttle(interval_us), outputStructType=UPDATES, outputMode="Append", timeMode="None"
-    )
+#: How long a job that sends nothing is remembered, and how late a row may come.
+KEEP_SEC, LATENESS = 7 * 24 * 3600.0, "1 hour"
 
 
-def high_water_mark(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=HighWaterMark(), outputStructType=MARKS, outputMode="Append", timeMode="None"
-    )
+def _by_job(rows: DataFrame, processor: StatefulProcessor, shape: str, lateness: str) -> DataFrame:
+    timed = rows.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
+    return timed.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="EventTime")
+
+
+def throttle(updates: DataFrame, interval_us: int = 1_000_000, keep_sec: float = KEEP_SEC, lateness: str = LATENESS) -> DataFrame:
+    return _by_job(updates, Throttle(interval_us, keep_sec), UPDATES, lateness)
+
+
+def high_water_mark(marks: DataFrame, keep_sec: float = KEEP_SEC, lateness: str = LATENESS) -> DataFrame:
+    return _by_job(marks, HighWaterMark(keep_sec), MARKS, lateness)
 
 
 def watchdog(beats: DataFrame, timeout_sec: dict[str, int] = STALE_AFTER_SEC, lateness: str = "0 seconds") -> DataFrame:
