@@ -274,6 +274,7 @@ def expired_artifacts(t: Tables) -> DataFrame:
     )
 
 
+# The messages are fixed values.
 @query("retention_events", """
     select job_id, candidate_id, path, event_type, existed,
            case when event_type = 'SOURCE_CLEANED' and existed

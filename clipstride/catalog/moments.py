@@ -356,6 +356,29 @@ def detector_routing(t: Tables) -> DataFrame:
     )
 
 
+add_view("routed", """
+    select m.job_id, m.start_sec, m.end_sec, confidence as score, coalesce(excerpt, '') as excerpt, 'answers' as path
+    from merged m left join merged_said s on s.job_id = m.job_id and s.moment_id = m.moment_id where m.job_id % 3 <> 0
+    union all
+    select job_id, start_sec, end_sec, score, excerpt, 'heuristic' from detected
+    where job_id % 3 = 0 or job_id not in (select job_id from moments)""")
+add_view("routed_passing", "select * from routed where length(trim(excerpt)) >= 3 and score >= 0.5")
+add_greedy("routed_gated", "routed_passing", "score desc, start_sec, end_sec, excerpt, path",
+           "abs(k - (x.start_sec + x.end_sec) / 2) <= 45", "(x.start_sec + x.end_sec) / 2")
+
+
+@query("gated_routing", "select job_id, start_sec, end_sec, score, excerpt, path from routed_gated")
+def gated_routing(t: Tables) -> DataFrame:
+    """The gate on both paths, the fallback under its request's settings."""
+    from clipstride.operators.scoring import DetectorParams
+    from clipstride.operators.windows import WindowParams
+    from clipstride.plans.detect import detect_routed
+
+    answers = responses(t).withColumn("failed", F.col("job_id") % 3 == 0)
+    found = detect_routed(t.segments, t.silence, t.loudness, answers, settings=DetectorParams(WindowParams(keywords=KEYWORDS)), gated=True)
+    return found.select("job_id", "start_sec", "end_sec", "score", "excerpt", "path")
+
+
 @query("expression_fusion", """
     with axes as (select job_id, moment_id as candidate_id, confidence as score, 1e0 as weight from moments
                   union all select job_id, moment_id, start_sec - end_sec, 0.5e0 from moments),

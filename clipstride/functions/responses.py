@@ -13,6 +13,12 @@ CONFIDENCE_KEYS = ("confidence", "score")
 STRICT = {"allowSingleQuotes": "false"}
 
 
+# Fixed formats of answers: an array in a fenced block, a flat object, a list of numbers.
+FENCED_ARRAY = r"(?s)```(?:json)?\s*(\[.*?\])\s*```"
+FLAT_OBJECT = r"\{[^{}]+\}"
+NUMBER_LIST = r"\[[\d,\s]*\]"
+
+
 def highlight_objects(raw: Column) -> Column:
     """The JSON objects of an answer as strings, by the first reading that works.
 
@@ -27,8 +33,8 @@ def highlight_objects(raw: Column) -> Column:
         return F.when(F.size(alone) == 1, F.from_json(candidate, "array<string>", STRICT))
 
     bracketed = elements(F.regexp_extract(text, r"(?s)\[.*\]", 0))
-    fenced = elements(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1))
-    loose = F.regexp_extract_all(text, F.lit(r"\{[^{}]+\}"), F.lit(0))
+    fenced = elements(F.regexp_extract(text, FENCED_ARRAY, 1))
+    loose = F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0))
     return F.coalesce(bracketed, fenced, loose)
 
 
@@ -63,7 +69,7 @@ def moment_fields(obj: Column) -> Column:
 
 def index_list(raw: Column, n: Column) -> Column:
     """Indices below ``n`` in the order given, without repeats."""
-    listed = F.regexp_extract(raw, r"\[[\d,\s]*\]", 0)
+    listed = F.regexp_extract(raw, NUMBER_LIST, 0)
     numbers = F.regexp_extract_all(F.when(listed != "", listed).otherwise(raw), F.lit(r"\d+"), F.lit(0))
     parsed = F.transform(numbers, lambda x: x.try_cast("long"))
     return F.array_distinct(F.filter(parsed, lambda x: x.isNotNull() & (x < n)))

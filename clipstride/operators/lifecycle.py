@@ -308,6 +308,15 @@ def expired_artifacts(jobs: DataFrame, candidates: DataFrame, cutoff: Column) ->
     return exported.join(ended, "job_id")
 
 
+# What a retention event says where the file was there, and where it was gone already.
+CLEANED_MESSAGE = {
+    "SOURCE_CLEANED": ("Retention cleanup removed the source video after the configured retention window",
+                       "Retention cleanup found the source video already missing and cleared the stored reference"),
+    "ARTIFACT_CLEANED": ("Retention cleanup removed the export artifact for candidate {id}",
+                         "Retention cleanup found the export artifact already missing for candidate {id} and cleared the stored reference"),
+}
+
+
 def retention_events(
     jobs: DataFrame, candidates: DataFrame, source_cutoff: Column, artifact_cutoff: Column, manifest: DataFrame
 ) -> DataFrame:
@@ -322,13 +331,9 @@ def retention_events(
     known = manifest.select("path").distinct().withColumn("existed", F.lit(True))
     which = F.col("candidate_id").cast("string")
     source, there = F.col("event_type") == "SOURCE_CLEANED", F.col("existed")
-    message = (
-        F.when(source & there, "Retention cleanup removed the source video after the configured retention window")
-        .when(source, "Retention cleanup found the source video already missing and cleared the stored reference")
-        .when(there, F.concat(F.lit("Retention cleanup removed the export artifact for candidate "), which))
-        .otherwise(F.concat(F.lit("Retention cleanup found the export artifact already missing for candidate "), which,
-                            F.lit(" and cleared the stored reference")))
-    )
+    own = F.when(there, CLEANED_MESSAGE["SOURCE_CLEANED"][0]).otherwise(CLEANED_MESSAGE["SOURCE_CLEANED"][1])
+    clip = F.when(there, CLEANED_MESSAGE["ARTIFACT_CLEANED"][0]).otherwise(CLEANED_MESSAGE["ARTIFACT_CLEANED"][1])
+    message = F.when(source, own).otherwise(F.replace(clip, F.lit("{id}"), which))
     return (
         sources.unionByName(artifacts).join(known, "path", "left")
         .withColumn("existed", F.coalesce("existed", F.lit(False)))

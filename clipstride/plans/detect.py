@@ -33,22 +33,22 @@ def ask(
 
 def detect_routed(
     segments: DataFrame, silence: DataFrame, loudness: DataFrame | None, answers: DataFrame,
-    keywords: Sequence[str] = (), top_n: int | None = None,
+    keywords: Sequence[str] = (), top_n: int | None = None, *, settings: scoring.DetectorParams | None = None, gated: bool = False,
 ) -> DataFrame:
     """Candidates from ``answers(job_id, response_no, raw, failed)`` where they are usable.
 
-    Recordings without an answer, or with a failed one, get the heuristic detector.
+    Recordings without an answer, or with a failed one, get the heuristic detector, under ``settings`` if given (their
+    ``top_n`` then holds on both paths). ``gated`` passes the candidates of either path through the candidate gate.
     """
+    settings = settings or scoring.DetectorParams(windows.WindowParams(keywords=keywords), top_n=top_n)
     state = answers.groupBy("job_id").agg(F.max("failed").alias("failed"))
     usable = state.where(~F.col("failed")).select("job_id")
     parsed = mo.parse_highlights(answers.join(usable, "job_id", "left_semi").drop("failed"))
     numbered = parsed.withColumn("moment_id", F.struct("response_no", "pos"))
     merged = written(mo.merge_moments(numbered, ["response_no", "pos"]))
-    from_answers = mo.moments_to_candidates(merged, segments, top_n).drop("moment_id")
+    from_answers = mo.moments_to_candidates(merged, segments, settings.top_n).drop("moment_id")
     rest = [df.join(usable, "job_id", "left_anti") for df in (segments, silence)]
     other = loudness.join(usable, "job_id", "left_anti") if loudness is not None else None
-    p = scoring.DetectorParams(windows.WindowParams(keywords=keywords), top_n=top_n)
-    heuristic = scoring.clip_candidates(written(rest[0]), rest[1], other, p)
-    return from_answers.withColumn("path", F.lit("answers")).unionByName(
-        heuristic.withColumn("path", F.lit("heuristic"))
-    )
+    heuristic = scoring.clip_candidates(written(rest[0]), rest[1], other, settings)
+    found = from_answers.withColumn("path", F.lit("answers")).unionByName(heuristic.withColumn("path", F.lit("heuristic")))
+    return scoring.candidate_gate(written(found)) if gated else found

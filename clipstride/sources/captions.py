@@ -76,10 +76,10 @@ class CaptionWriter(DataSourceArrowWriter):
 
 
 def write_caption_files(documents: DataFrame, path: str, buckets: int = 256) -> None:
-    """Replace the caption files at ``path`` by those of ``documents(job_id, candidate_id, content)``; clips without content get none."""
+    """Replace the caption files at ``path`` by those of ``documents(job_id, candidate_id, content)``; clips with null or empty content get none."""
     documents.sparkSession.dataSource.register(CaptionFiles)
     bucket = F.pmod(F.xxhash64("job_id", "candidate_id"), F.lit(buckets)).cast("int")
-    rows = documents.where("content is not null").select(
+    rows = documents.where("content <> ''").select(
         F.col("job_id").cast("long"), F.col("candidate_id").cast("long"), "content", bucket.alias("job_bucket"))
     rows.repartition("job_bucket").write.format("caption_files").mode("append").save(path)
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from clipstride.operators import captions as cp
@@ -103,3 +104,67 @@ def test_throttle(spark):
     updates = spark.createDataFrame(rows, "job_id long, event_id long, us long, stage string, percent long, message string")
     sent = ev.throttle_progress(updates, interval_us=100).orderBy("event_id").collect()
     assert [r.event_id for r in sent] == [0, 3, 4, 6]
+
+
+def test_throttle_with_unknown_percent(spark):
+    rows = [(1, i, 200 * i, "A", p, "m") for i, p in enumerate([None, None, 3, None, None])]
+    updates = spark.createDataFrame(rows, "job_id long, event_id long, us long, stage string, percent long, message string")
+    assert sorted(r.event_id for r in ev.throttle_progress(updates, interval_us=100).collect()) == [0, 2, 3]
+
+
+def test_caption_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    from clipstride.sources import captions
+
+    path = str(tmp_path / "captions")
+    clips = spark.createDataFrame([(-1, 2, "é\n\nx"), (-1, 3, "b"), (5, 2, ""), (6, 1, None)], "job_id long, candidate_id long, content string")
+    captions.write_caption_files(clips, path, 2)
+    want = {(-1, 2, "é\n\nx"), (-1, 3, "b")}
+    assert {tuple(r) for r in captions.read_caption_files(spark, path).collect()} == want
+    broken = clips.withColumn("content", F.when(F.col("candidate_id") == 3, F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        captions.write_caption_files(broken, path, 2)
+    assert {tuple(r) for r in captions.read_caption_files(spark, path).collect()} == want
+
+
+def test_keyed_state_ends(spark, tmp_path):
+    """A mark is remembered over batches, and no longer than it should be by the stream's own time."""
+    from clipstride.streaming import state
+    from clipstride.streaming.run import stateful
+
+    stateful(spark)
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    shape = "job_id long, event_id long, us long, value long"
+    hour = 3_600_000_000
+    kept = []
+    for n, rows in enumerate([[(1, 1, hour, 5), (2, 2, hour, 7)], [(1, 3, 2 * hour, 4), (3, 4, 9 * hour, 1)], [(3, 5, 10 * hour, 2)], [(1, 6, 11 * hour, 3)]]):
+        spark.createDataFrame(rows, shape).write.mode("append").parquet(source)
+        marks = state.high_water_mark(spark.readStream.schema(shape).parquet(source), keep_sec=3 * 3600.0, lateness="1 minute")
+        run = marks.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", progress).start(out)
+        run.awaitTermination()
+        kept.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert {r.event_id for r in spark.read.parquet(out).collect()} == {1, 2, 4, 5, 6}  # 3 is below the mark of 1, 6 comes after its end
+    assert min(kept) < max(kept)
+
+
+def test_scopes_of_two_threads_do_not_meet(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from clipstride.operators.store import scope, written
+
+    barrier = Barrier(2)
+
+    def work(n: int) -> int:
+        with scope(spark):
+            rows = written(spark.range(n))
+            barrier.wait()
+            if n == 1:
+                return rows.count()
+            barrier.wait()
+            return rows.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.submit(work, 1), pool.submit(work, 5)
+        assert first.result() == 1
+        barrier.wait()
+        assert second.result() == 5
