@@ -93,8 +93,8 @@ def _settle(keys: Sequence[str]):
                     at.append(place)
                     ids.append(n)
                     kept.append(fate != 0)
-                    inputs.append(None)
-                    tables.append(None)
+                    inputs.append([] if n in awaited else None)
+                    tables.append(bytes([fate != 0]) if n in awaited else None)
                 elif fate is not None and n in awaited:
                     at.append(place)
                     ids.append(n)
@@ -135,7 +135,7 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 case = sum(1 << k for k, i in enumerate(inputs) if known[i])
                 known[n] = bool(fate[case >> 3] >> (case & 7) & 1)
-    sure = [(n, kept) for n, kept in known.items() if kept is not None]
+    sure = [(n, kept) for n, kept in known.items() if kept is not None and told[n][0]]
     yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sure], pa.int64()), pa.array([k for _, k in sure], pa.bool_())], names=["_id", "kept"])
 
 
@@ -167,7 +167,7 @@ def dropped(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], width: floa
         told = written(rows.repartition("_group").mapInArrow(
             _settle(keys), f"{kinds}, _id long, kept boolean, inputs array<long>, fate binary"))
         sure = told.where("kept is not null").select("_id", "kept")
-        read = told.where("kept is null").repartition(*keys).mapInArrow(_resolve, "_id long, kept boolean")
+        read = told.where("inputs is not null").repartition(*keys).mapInArrow(_resolve, "_id long, kept boolean")
         sure = written(sure.unionByName(read))
         beaten = open_.join(sure.where("kept").select(F.col("_id").alias("_better")), "_better", "left_semi").select(F.col("_worse").alias("_id"))
         sure = written(sure.unionByName(beaten.distinct().join(sure, "_id", "left_anti").withColumn("kept", F.lit(False))))
