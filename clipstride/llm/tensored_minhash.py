@@ -11,9 +11,11 @@ Equal sets travel as one node. Work that grows with pairs is kept off in three s
 * Keys whose nodes are all of one group are dropped; only nodes left with keys of both collections enter tables, and of
   these tables only those where groups meet.
 * There nodes are compared by sketches (a byte of each minhash) where they lie; each sends its likeliest partner of
-  another group to the check. In the last turn all that the sketch cannot rule out are checked. Crowds that share a
-  passage but are not near copies end at the sketch. A pair at 0.8 falls below its margin with probability 3e-5.
-  A table of over LARGE nodes is dealt out by longer runs of the sketch first.
+  another group to the check. Crowds that share a passage but are not near copies end at the sketch. A pair at 0.8 falls
+  below its margin with probability 3e-5. A table of over LARGE nodes is dealt out by longer runs of the sketch first.
+* Nodes that then still have a partner which the sketch cannot rule out meet once more by their rarest shingles: of two
+  sets as alike as that, the smaller one's rarest ninth and the larger one's rarest fifth have a shingle in common, and no
+  pair that lacks it is looked at. That rule is exact, and texts with many changes of their own have none to share.
 
 Sets are of 64-bit hashes of shingles, told apart by two 64-bit hashes. Letters A-Z count as lower case. Fewer words than a
 shingle has are one shingle; a text without words, or null, has an empty set and is linked with nothing. Repeated rows get
@@ -29,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipstride.llm.simhash import components
@@ -49,7 +51,8 @@ LARGE, RUN, RUNS = 4096, 12, 168
 RUN_PLACES = np.random.default_rng(29).permuted(np.tile(np.arange(SIGNATURE), (RUNS, 1)), axis=1)[:, :RUN]
 #: Nodes with a key above which its star is salted; rows that a task should hold; nodes whose texts are fetched by a broadcast of their keys.
 HOT, TASK_ROWS, FETCHED = 100_000, 3_000_000, 500_000
-TURNS = 3
+#: Bytes of text that a task works on at once.
+TEXT_BYTES = 2 << 20
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +69,11 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner)
             values.append(_mixed(_window_hashes(hashes, n)[words.offsets[owner] + within] + np.uint64(n)))
     owner, value = np.concatenate(owners), np.concatenate(values)
-    order = np.lexsort((value, owner))
+    order = np.argsort(owner, kind="stable")
     owner, value = owner[order], value[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        value[a:b].sort()
     fresh = np.ones(len(value), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return value[fresh], np.searchsorted(owner[fresh], np.arange(len(counts) + 1))
@@ -106,7 +112,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 def _signed(size: int):
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=TEXT_BYTES):
             value, offsets = shingle_sets(column_of(batch), size)
             one, two = identities(value, offsets)
             keys, sketch = signatures(value, offsets)
@@ -121,7 +127,7 @@ def _signed(size: int):
 def _sets(size: int):
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole sets of the wanted texts; a text that only shares the key of a wanted one is left out."""
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=TEXT_BYTES):
             value, offsets = shingle_sets(column_of(batch), size)
             one, two = identities(value, offsets)
             good = np.flatnonzero((one == batch.column("one").to_numpy()) & (two == batch.column("two").to_numpy()))
@@ -132,6 +138,14 @@ def _sets(size: int):
     return pack
 
 
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingle) of sets."""
+    for batch in batches:
+        for node, block in zip(batch.column("node").to_pylist(), batch.column("members")):
+            members = np.frombuffer(block.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), node)), pa.array(members)], names=["node", "shingle"])
+
+
 def _alike(least: int):
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,21 +177,24 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partners(least: int, every: bool):
-    """Pairs of different groups that a sketch does not rule out: of each node the likeliest, or all."""
+    """Pairs of different groups that a sketch does not rule out: of each node the likeliest, or all.
+
+    Rows may say (``lead``) whether they meet larger sets too, or only smaller ones.
+    """
     floor = math.ceil(SIGNATURE * (least / 100 - MARGIN * math.sqrt(least / 100 * (1 - least / 100) / SIGNATURE)))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows of a key are in this partition."""
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], []]
         for batch in batches:
-            for into, name in zip(columns, ("key", "node", "root", "size")):
-                into.append(batch.column(name).to_numpy())
-            columns[4].append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SIGNATURE))
+            for into, name in zip(columns, ("key", "node", "root", "size", "lead")):
+                into.append(batch.column(name).to_numpy(zero_copy_only=False))
+            columns[5].append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SIGNATURE))
         if not columns[0]:
             return
-        key, node, root, size, sketch = map(np.concatenate, columns)
+        key, node, root, size, lead, sketch = map(np.concatenate, columns)
         order = np.lexsort((node, key))
-        key, node, root, size, sketch = (x[order] for x in (key, node, root, size, sketch))
+        key, node, root, size, lead, sketch = (x[order] for x in (key, node, root, size, lead, sketch))
         best, partner = np.full(len(key), floor - 1), np.full(len(key), -1)
         at, far = np.arange(len(key) - 1), 1
         while len(at):
@@ -185,6 +202,7 @@ def _partners(least: int, every: bool):
             at = at[key[at] == key[at + far]]
             to = at + far
             can = (root[at] != root[to]) & (100 * np.minimum(size[at], size[to]) >= least * np.maximum(size[at], size[to]))
+            can &= (lead[at] | (size[at] > size[to])) & (lead[to] | (size[to] > size[at]))
             left, right = at[can], to[can]
             same = np.concatenate([np.zeros(0, np.int64)] + [
                 (sketch[left[i : i + 50_000]] == sketch[right[i : i + 50_000]]).sum(axis=1) for i in range(0, len(left), 50_000)])
@@ -241,16 +259,19 @@ class Links:
     def parts(self, rows: int) -> int:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, members) of some nodes, from their texts."""
+        wanted = written(nodes.join(self.nodes.select("node", "key", "one", "two"), "node"))
+        few = wanted.count() <= FETCHED  # 32 bytes each
+        texts = self.texts.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
+        return texts.dropDuplicates(["node"]).mapInArrow(_sets(self.size), "node long, members binary")
+
     def check(self, pairs: DataFrame) -> int:
         """Add the pairs (a, b) that are alike on their full sets; how many were given."""
         pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         given = pairs.count()
         if given:
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            wanted = written(ends.join(self.nodes.select("node", "key", "one", "two"), "node"))
-            few = wanted.count() <= FETCHED  # 32 bytes each
-            texts = self.texts.select("key", "text").join(F.broadcast(wanted) if few else wanted, "key")
-            sets = written(texts.dropDuplicates(["node"]).mapInArrow(_sets(self.size), "node long, members binary"))
+            sets = written(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
             both = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("right")), "b").join(
                 sets.select(F.col("node").alias("a"), F.col("members").alias("left")), "a")
             alike = both.select("a", "b", "left", "right").mapInArrow(_alike(self.least), "a long, b long")
@@ -282,10 +303,9 @@ class Links:
                 _stars, "key long, node long, size long, first long, first_size long")
             return stars.where(self.similar_sizes("size", "first_size")).select(F.col("first").alias("a"), F.col("node").alias("b"))
 
-        hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
-        found = pairs(keyed)
-        if not hot.isEmpty():  # salted keys first, then those that are first under one
-            salted = keyed.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", F.lit(1)) / HOT)))
+        found = pairs(keyed.select("key", "node", "size"))
+        if not keyed.where(F.col("n") > HOT).isEmpty():  # salted keys first, then those that are first under one
+            salted = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / HOT)))
             heads = salted.groupBy("key", "salt").agg(F.min(F.struct(F.xxhash64("node"), "node", "size")).alias("head")).select("key", "head.node", "head.size")
             found = pairs(salted.withColumn("key", F.xxhash64("key", "salt")).select("key", "node", "size")).union(pairs(heads))
         self.check(found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRING).select("a", "b"))
@@ -299,28 +319,47 @@ class Links:
             "node", "root", "size", "one", F.explode("keys_1").alias("two"))
         return written(self.meeting(written(table.select(F.xxhash64("one", "two").alias("key"), "node", "root", "size"))))
 
-    def compare(self, tables: DataFrame, every: bool) -> int:
-        """Check what the sketches in tables (key, node, root, size, n) leave; how many pairs."""
+    def partners(self, tables: DataFrame) -> DataFrame:
+        """The likeliest pairs of different groups in tables (key, node, root, size, n) that the sketch does not rule out."""
         sketches = self.nodes.select("node", "sketch")
-        small = tables.where(F.col("n") <= LARGE).select("key", "node", "root", "size").join(sketches, "node")
-        large = tables.where(F.col("n") > LARGE)
-        if not large.isEmpty():
-            dealt = large.select("key", "node", "root", "size").join(sketches, "node").mapInArrow(_runs, "key long, node long, root long, size long")
-            small = small.unionByName(self.meeting(written(dealt)).drop("n").join(sketches, "node"))
-        rows = small.select("key", "node", "root", "size", "sketch")
-        return self.check(rows.repartition(self.parts(16 * tables.count()), "key").mapInArrow(_partners(self.least, every), "a long, b long"))
+        rows = tables.where(F.col("n") <= LARGE).select("key", "node", "root", "size").join(sketches, "node")
+        count, most = tables.agg(F.count("*"), F.max("n")).first()
+        if (most or 0) > LARGE:
+            large = tables.where(F.col("n") > LARGE).select("key", "node", "root", "size").join(sketches, "node")
+            dealt = large.mapInArrow(_runs, "key long, node long, root long, size long")
+            rows = rows.unionByName(self.meeting(written(dealt)).drop("n").join(sketches, "node"))
+        return self.compared(rows.withColumn("lead", F.lit(True)), 16 * count, every=False)
+
+    def compared(self, rows: DataFrame, weight: int, *, every: bool) -> DataFrame:
+        rows = rows.select("key", "node", "root", "size", "lead", "sketch")
+        return written(rows.repartition(self.parts(weight), "key").mapInArrow(_partners(self.least, every), "a long, b long").distinct())
+
+    def rarest(self, pairs: DataFrame) -> DataFrame:
+        """All pairs (a, b) of different groups, among the nodes in ``pairs``, whose rarest shingles meet."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = written(self.sets(nodes))
+        listed = written(sets.mapInArrow(_listed, "node long, shingle long"))
+        shared = listed.join(listed.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shingle")
+        own = Window.partitionBy("node")  # the shingles of one text
+        placed = shared.join(self.nodes.select("node", "size"), "node").withColumn("nth", F.row_number().over(own.orderBy("df", "shingle"))).withColumn(
+            "place", F.col("size") - F.count("*").over(own) + F.col("nth"))  # shingles that nobody shares come first
+        fifth = F.col("size") - F.ceil(self.least * F.col("size") / 100) + 1
+        ninth = F.col("size") - F.ceil(2 * self.least * F.col("size") / (100 + self.least)) + 1
+        rows = placed.where(F.col("place") <= fifth).select(F.col("shingle").alias("key"), "node", "size", (F.col("place") <= ninth).alias("lead"))
+        rows = written(self.meeting(self.rooted(rows)).drop("n"))
+        return self.compared(rows.join(self.nodes.select("node", "sketch"), "node"), 16 * rows.count(), every=True)
 
     def gather(self) -> None:
         """All links, by stars and tables."""
         filled = self.nodes.where("size > 0")
         keyed = filled.select("node", "size", F.posexplode("keys").alias("side", "key")).withColumn("side", (F.col("side") >= SIDE).cast("int"))
-        keyed = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
-        self.stars(keyed.select("key", "node", "size"))
+        keyed = written(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        self.stars(keyed)
         tables = self.tables(keyed)
-        for turn in range(TURNS):
-            if tables.isEmpty() or not self.compare(tables, turn == TURNS - 1):
-                break
-            tables = written(self.meeting(self.rooted(tables.drop("root", "n"))).select("key", "node", "root", "size", "n"))
+        if self.check(self.partners(tables)):
+            pairs = self.partners(written(self.meeting(self.rooted(tables.drop("root", "n"))).select("key", "node", "root", "size", "n")))
+            if not pairs.isEmpty():
+                self.check(self.rarest(pairs))
 
     def classes(self) -> DataFrame:
         """(one, two, root, component_id) of the distinct sets; each empty set's row stands for itself."""
