@@ -2,8 +2,8 @@
 
 The most frequent words of all languages, HEAD at most, get ids by their rank. A pair of ids is a cell of a plane cut
 into square tiles. Inside a task a tile that many pairs fall into is counted at its address (``numpy.bincount``), the
-others as sorted coordinates; only cells that are not zero leave the task, and Spark adds them up by cell, so that no
-tile is gathered anywhere. Pairs that are frequent are ranked again, and what follows them is counted as pairs of (pair,
+others as sorted coordinates; only cells that are not zero leave the task, dealt to buckets by their hash, where they are
+added up, so that no tile is gathered anywhere. Pairs that are frequent are ranked again, and what follows them is counted as pairs of (pair,
 word) by the same tiles.
 
 What is rarer than ``least`` cannot be part of a candidate. Where more words than HEAD are frequent, phrases that hold
@@ -36,6 +36,8 @@ HEAD, HEAD_PAIRS = 1 << 19, 1 << 16
 TILE, CROWDED, TILES, CELLS = 512, 1 << 14, 24, 2_000_000
 #: Bytes of text that a task works on at once, and distinct words that it gathers.
 TEXT_BYTES, WORDS = 3 << 20, 400_000
+#: Buckets of cells for each shuffle partition; a bucket is added up at once.
+BUCKETS = 1
 #: Bits of a table at most, a power of two, and bits of one of its segments.
 TABLE_BITS, SEGMENT_BITS = 28, 17
 #: Letters A-Z are lowered, tabs become spaces, ends of pieces line feeds.
@@ -185,8 +187,37 @@ class _Cells:
         yield from zip(self.codes, self.counts)
 
 
-def _count_phrases(words: int, heads: dict, more: tuple | None, pairs: tuple | None, ranks: dict):
-    """Rows (lang, code, phrase, n): phrases of head words have a code, others their text."""
+def _added(least: int):
+    """Rows (lang, code, phrase, n) of the cells that reach ``least``; rows of a bucket and language follow each other."""
+
+    def total(lang: str, blocks: list[bytes]) -> pa.RecordBatch:
+        parts = [np.frombuffer(b, np.int64).reshape(2, -1) for b in blocks]
+        codes, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        codes, n = codes[starts], np.add.reduceat(n, starts)
+        codes, n = codes[n >= least], n[n >= least]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.nulls(len(codes), pa.string()), pa.array(n)], names=["lang", "code", "phrase", "n"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, []
+        for batch in batches:
+            for bucket, lang, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "cells"))):
+                if now != (bucket, lang) and blocks:
+                    yield total(now[1], blocks)
+                    blocks = []
+                now = bucket, lang
+                blocks.append(block)
+        if blocks:
+            yield total(now[1], blocks)
+
+    return add
+
+
+def _count_phrases(words: int, heads: dict, more: tuple | None, pairs: tuple | None, ranks: dict, buckets: int):
+    """Rows (bucket, lang, cells, phrase, n): phrases of head words as packed cells, others by their text."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[str, _Cells] = {}
@@ -198,17 +229,23 @@ def _count_phrases(words: int, heads: dict, more: tuple | None, pairs: tuple | N
         def out() -> Iterator[pa.RecordBatch]:
             for lang, c in cells.items():
                 for codes, n in c.rows(ranks.get(lang) if words == 3 else None):
-                    for at in range(0, len(codes), 100_000):
-                        part = codes[at : at + 100_000]
+                    bucket = (_mixed(codes.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    codes, n, bucket = codes[order], n[order], bucket[order]
+                    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[: len(codes)].tolist()
+                    packed = [codes[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(codes)])]
+                    for at in range(0, len(starts), 500):
+                        part = pa.array(packed[at : at + 500], pa.binary())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.DictionaryArray.from_arrays(np.zeros(len(part), np.int32), [lang]).cast(pa.string()), pa.array(part),
-                             pa.nulls(len(part), pa.string()), pa.array(n[at : at + 100_000])], names=["lang", "code", "phrase", "n"])
+                            [pa.array(bucket[starts[at : at + 500]]), pa.array([lang] * len(part)), part, pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.int64())],
+                            names=["bucket", "lang", "cells", "phrase", "n"])
             items = list(texts.items())
             for at in range(0, len(items), 50_000):
                 part = items[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part]), pa.nulls(len(part), pa.int64()), pa.array([k[1] for k, _ in part], pa.binary()).cast(pa.string()),
-                     pa.array([n for _, n in part], pa.int64())], names=["lang", "code", "phrase", "n"])
+                    [pa.nulls(len(part), pa.int32()), pa.array([k[0] for k, _ in part]), pa.nulls(len(part), pa.binary()),
+                     pa.array([k[1] for k, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64())],
+                    names=["bucket", "lang", "cells", "phrase", "n"])
             cells.clear()
             texts.clear()
 
@@ -304,8 +341,16 @@ def phrase_counts(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFram
         return found.select("lang", "code", "phrase", "n").mapInArrow(read, "lang string, phrase string, parts array<string>, n long")
 
     def counts(size: int, pairs: tuple | None, ranks: dict) -> DataFrame:
-        found = texts.mapInArrow(_count_phrases(size, heads, more, pairs, ranks), "lang string, code long, phrase string, n long")
-        return written(found.groupBy("lang", "code", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = texts.mapInArrow(
+            _count_phrases(size, heads, more, pairs, ranks, BUCKETS * parts), "bucket int, lang string, cells binary, phrase string, n long")
+        found = written(found) if more else found
+        cells = found.where("cells is not null").select("bucket", "lang", "cells").repartition(parts, "bucket").sortWithinPartitions("bucket", "lang")
+        out = cells.mapInArrow(_added(least), "lang string, code long, phrase string, n long")
+        if more:
+            spelt = found.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            out = out.unionByName(spelt.withColumn("code", F.lit(None).cast("long")))
+        return written(out)
 
     two = counts(2, None, {})
     ranks = {lang: np.array(codes, np.int64) for lang, codes in _heads(two.where("code is not null"), "code", HEAD_PAIRS).items()}
