@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from clipstride.functions.lifecycle import STALE_AFTER_SEC
+from clipstride.functions.lifecycle import STALE_AFTER_SEC, lookup
 
 UPDATES = "job_id long, event_id long, us long, stage string, percent long, message string"
 MARKS = "job_id long, event_id long, us long, value long"
-STALE = "task_id long, task_type string, last_heartbeat_us long"
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -95,39 +94,6 @@ class HighWaterMark(Ending):
             yield passed[["job_id", "event_id", "us", "value"]]
 
 
-class Watchdog(StatefulProcessor):
-    """Reports a task once when its heartbeat stays away for longer than allowed."""
-
-    def __init__(self, timeout_sec: dict[str, int]):
-        self.timeout_sec = timeout_sec
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.beat = handle.getValueState("beat", "us long, task_type string, timer_ms long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        newest = max((r for f in rows for r in f.itertuples(index=False)), key=lambda r: r.us)
-        old = self.beat.get() if self.beat.exists() else None
-        if old is None or newest.us >= old[0]:
-            if old is not None:
-                self.handle.deleteTimer(old[2])
-                self.beat.clear()
-            if newest.status in ("CLAIMED", "RUNNING"):
-                # Late means strictly later than the timeout, in whole milliseconds.
-                due = newest.us // 1000 + self.timeout_sec[newest.task_type] * 1000 + 1
-                self.handle.registerTimer(due)
-                self.beat.update((newest.us, newest.task_type, due))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        us, task_type, _ = self.beat.get()
-        self.beat.clear()
-        yield pd.DataFrame([(key[0], task_type, us)], columns=["task_id", "task_type", "last_heartbeat_us"])
-
-    def close(self) -> None:
-        pass
-
-
 #: How long a job that sends nothing is remembered, and how late a row may come.
 KEEP_SEC, LATENESS = 7 * 24 * 3600.0, "1 hour"
 
@@ -147,7 +113,15 @@ def high_water_mark(marks: DataFrame, keep_sec: float = KEEP_SEC, lateness: str
 
 
 def watchdog(beats: DataFrame, timeout_sec: dict[str, int] = STALE_AFTER_SEC, lateness: str = "0 seconds") -> DataFrame:
-    """``beats(task_id, task_type, status, us, ts)``; time is the stream's own."""
-    return beats.withWatermark("ts", lateness).groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=Watchdog(timeout_sec), outputStructType=STALE, outputMode="Append", timeMode="EventTime"
-    )
+    """Reports a task once when its heartbeat stays away for longer than allowed.
+
+    ``beats(task_id, task_type, status, us, ts)``; time is the stream's own. Heartbeats that follow each other in time are a
+    session, which ends when none comes any more; what its last one says decides. So the state is Spark's own, without
+    a call to Python for each task.
+    """
+    # Late means strictly later than the timeout, in whole milliseconds.
+    hold = F.concat((lookup(F.col("task_type"), timeout_sec).cast("long") * 1000 + 1).cast("string"), F.lit(" milliseconds"))
+    newest = F.max(F.struct("us", "status", "task_type")).alias("newest")
+    ended = beats.withWatermark("ts", lateness).groupBy(F.session_window("ts", hold), "task_id").agg(newest)
+    return ended.where(F.col("newest.status").isin("CLAIMED", "RUNNING")).select(
+        "task_id", "newest.task_type", F.col("newest.us").alias("last_heartbeat_us"))
