@@ -74,7 +74,7 @@ def stream_status_projection(t: Tables) -> DataFrame:
     columns = [c.split()[0] for c in live.TASKS.split(", ")]
     drain_batches(stream_of(t.tasks.select(*columns)), live.project_live(jobs, tasks, projection, buckets=8))
     touched = tables.read_by_job(t.spark, projection, live.PROJECTION)
-    quiet = jobs.join(touched.select("job_id"), "job_id", "left_anti").select(
+    quiet = jobs.join(tables.keys_of(touched), "job_id", "left_anti").select(
         "job_id", F.col("status").alias("stored_status"), F.col("status").alias("projected_status"), "progress_percent",
         "progress_message", "updated_at", "current_worker_id", "finished_at",
     )

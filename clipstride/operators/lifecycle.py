@@ -124,7 +124,7 @@ def project_status(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     )
     quiet = v.isin("keep", "touch")
     return (
-        jobs.join(deciding_task(tasks), "job_id", "left")
+        jobs.join(deciding_task(tasks).hint("merge"), "job_id", "left")
         .withColumn("verdict", verdict)
         .select(
             "job_id", stored.alias("stored_status"), new_status.alias("projected_status"),

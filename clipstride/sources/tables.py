@@ -6,8 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipstride.operators.store import written
-
 BUCKETS = 256
 
 
@@ -34,41 +32,61 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def keys_of(jobs: DataFrame) -> DataFrame:
+    """The distinct jobs, to be merged with by sorting: files of ids are small, what a broadcast of them takes in memory is not."""
+    return jobs.select("job_id").distinct().hint("merge")
+
+
+def _files(spark: SparkSession, path: str, numbers: list[int]) -> dict[int, set[str]]:
+    """Names of the files of each of these buckets."""
+    jvm = spark.sparkContext._jvm
+    found = {}
+    for n in numbers:
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/job_bucket={n}")
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found[n] = {f.getPath().getName() for f in files.listStatus(place)} if files.exists(place) else set()
+    return found
+
+
 def stored_jobs(spark: SparkSession, path: str, schema: str, jobs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """What is stored for ``jobs(job_id)``; only the directories that may hold them are read."""
     numbers = [r.job_bucket for r in jobs.select(job_bucket(buckets).alias("job_bucket")).distinct().collect()]  # at most ``buckets``
     stored = read_or_empty(spark, path, f"{schema}, job_bucket int").where(F.col("job_bucket").isin(numbers)).drop("job_bucket")
-    return stored.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+    return stored.join(keys_of(jobs), "job_id", "left_semi")
 
 
-def replace_jobs(rows: DataFrame, jobs: DataFrame, path: str, schema: str, buckets: int = BUCKETS) -> None:
+def replace_jobs(rows: DataFrame, jobs: DataFrame, path: str, schema: str, buckets: int = BUCKETS, *, within: bool = False) -> None:
     """Replace everything stored for ``jobs(job_id)`` by ``rows``; others stay.
 
+    Rows of other jobs are left out; ``within`` says that there are none, which saves sending all rows to their jobs.
+    What is read may be stored at ``path`` itself: its directories are replaced when all of the new rows are written.
+
     Only the directories that hold the jobs are read and rewritten.  Repeating the
     call gives the same table, so a retried or replayed batch does no harm.
     """
     spark = rows.sparkSession
-    ids = jobs.select("job_id").distinct().withColumn("job_bucket", job_bucket(buckets))
-    fresh = rows.join(ids.select("job_id"), "job_id", "left_semi").withColumn("job_bucket", job_bucket(buckets))
+    ids = keys_of(jobs)
+    own = rows.where("job_id is not null") if within else rows.join(ids, "job_id", "left_semi")
+    fresh = own.withColumn("job_bucket", job_bucket(buckets))
     stored = read_or_empty(spark, path, f"{schema}, job_bucket int")
-    touched = ids.select("job_bucket").distinct()
-    numbers = [r.job_bucket for r in touched.collect()]  # at most ``buckets``; as literals they prune the scan
-    kept = stored.where(F.col("job_bucket").isin(numbers)).join(ids.select("job_id"), "job_id", "left_anti")
-    result = written(kept.unionByName(fresh.select(*kept.columns)))
-    # A bucket left without rows keeps its directory but must lose its files.
-    emptied = touched.join(result.select("job_bucket").distinct(), "job_bucket", "left_anti")
+    # at most ``buckets``; as literals they prune the scan
+    numbers = [r.job_bucket for r in jobs.select(job_bucket(buckets).alias("job_bucket")).distinct().collect()]
+    kept = stored.where(F.col("job_bucket").isin(numbers)).join(ids, "job_id", "left_anti")
+    before = _files(spark, path, numbers)
     (
-        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        kept.unionByName(fresh.select(*kept.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("job_bucket").parquet(path)
     )
-    _drop_buckets(spark, path, emptied)
+    # A bucket left without rows keeps its directory, whose files are the old ones: it must lose them.
+    after = _files(spark, path, numbers)
+    _drop_buckets(spark, path, [n for n in numbers if before[n] and before[n] == after[n]])
 
 
-def _drop_buckets(spark: SparkSession, path: str, emptied: DataFrame) -> None:
+def _drop_buckets(spark: SparkSession, path: str, emptied: list[int]) -> None:
     """Delete directories of buckets without rows; there are at most ``BUCKETS`` of them."""
     jvm = spark.sparkContext._jvm
-    for row in emptied.collect():
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/job_bucket={row.job_bucket}")
+    for number in emptied:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/job_bucket={number}")
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -86,7 +86,7 @@ def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets
 
     def project(spark: SparkSession, batch: DataFrame) -> None:
         rows = written(batch)
-        touched = rows.select("job_id").distinct()
+        touched = written(rows.select("job_id").distinct())
         stored = tables.stored_jobs(spark, tasks_path, TASKS, touched, buckets)
         current = stored.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
         rest = [c for c in rows.columns if c != "task_id"]
@@ -95,16 +95,16 @@ def project_live(jobs: DataFrame, tasks_path: str, projection_path: str, buckets
             .agg(F.max(F.struct("updated_at", "_new", F.struct(*rest).alias("row"))).alias("best"))
             .select("task_id", "best.row.*").select(*rows.columns)
         )
-        tables.replace_jobs(latest, touched, tasks_path, TASKS, buckets)
-        rows_of = jobs.join(touched, "job_id", "left_semi")
+        tables.replace_jobs(latest, touched, tasks_path, TASKS, buckets, within=True)
+        rows_of = jobs.join(tables.keys_of(touched), "job_id", "left_semi")
         last = tables.stored_jobs(spark, projection_path, PROJECTION, touched, buckets)
         goes_on = last.select("job_id", F.col("stored_status").alias("_based_on"), F.struct(*[c for c in last.columns if c != "job_id"]).alias("_last"))
-        known = rows_of.join(goes_on, "job_id", "left").withColumn("_on", F.coalesce(F.col("_based_on") == F.col("status"), F.lit(False)))
+        known = rows_of.join(goes_on.hint("merge"), "job_id", "left").withColumn("_on", F.coalesce(F.col("_based_on") == F.col("status"), F.lit(False)))
         named = {"status": "projected_status"} | {c: c for c in ("progress_percent", "progress_message", "updated_at", "current_worker_id", "finished_at")}
         known = known.withColumns({c: F.when(F.col("_on"), F.col(f"_last.{p}")).otherwise(F.col(c)) for c, p in named.items()})
         projected = op.project_status(known.drop("_based_on", "_last", "_on"), latest).drop("stored_status").join(
-            rows_of.select("job_id", F.col("status").alias("stored_status")), "job_id")
-        tables.replace_jobs(written(projected), touched, projection_path, PROJECTION, buckets)
+            rows_of.select("job_id", F.col("status").alias("stored_status")).hint("merge"), "job_id")
+        tables.replace_jobs(projected, touched, projection_path, PROJECTION, buckets, within=True)
 
     return handle
 
@@ -121,18 +121,18 @@ def ingest_results(root: str, buckets: int = tables.BUCKETS):
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields) + ", job_id bigint"
         with scope(spark):
             fresh = written(batch.withColumn("job_id", F.col("jobId").cast("long")))
-            jobs = fresh.select("job_id").distinct()
+            jobs = written(fresh.select("job_id").distinct())
             stored = tables.stored_jobs(spark, f"{root}/deliveries", shape, jobs, buckets)
-            known = written(stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))))
+            known = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
             newest = known.groupBy("jobId").agg(F.max(F.struct("processingVersion", "executionId")).alias("v"))
             latest = Window.partitionBy("jobId", "part").orderBy(F.desc("_new"))
             current = written(
-                known.join(newest.select("jobId", "v.*"), ["jobId", "processingVersion", "executionId"], "left_semi")
+                known.join(newest.select("jobId", "v.*").hint("merge"), ["jobId", "processingVersion", "executionId"], "left_semi")
                 .withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*fresh.columns)
             )
             for name, rows in results.result_tables(current.drop("job_id")).items():
-                tables.replace_jobs(rows, jobs, f"{root}/{name}", RESULT_TABLES[name], buckets)
+                tables.replace_jobs(rows, jobs, f"{root}/{name}", RESULT_TABLES[name], buckets, within=True)
             # last, so that a batch that is repeated finds what it found before
-            tables.replace_jobs(current, jobs, f"{root}/deliveries", shape, buckets)
+            tables.replace_jobs(current, jobs, f"{root}/deliveries", shape, buckets, within=True)
 
     return handle
