@@ -7,6 +7,7 @@ up by one grouped aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from clipstride.operators.joins import interval_join
 WORD_GAP_SEC = 0.6
 # Windows are worked on in blocks of this length, so a long recording is many tasks.
 BLOCK_SEC = 600.0
+# Words of one task, about: more of them make more tasks, not larger ones.
+TASK_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +80,13 @@ def sliding_windows(lengths: DataFrame, p: WindowParams) -> DataFrame:
     return _bounds(every, p).select("job_id", "window_no", "w_start", "w_end")
 
 
-def place_on_grid(items: DataFrame, lengths: DataFrame, p: WindowParams) -> DataFrame:
+def tasks_for(segments: DataFrame) -> int:
+    """How many tasks the words of ``segments`` are dealt to."""
+    words = segments.agg(F.sum(F.greatest(F.lit(1), F.size("words")))).first()[0] or 0
+    return max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / TASK_WORDS))
+
+
+def place_on_grid(items: DataFrame, lengths: DataFrame, p: WindowParams, tasks: int | None = None) -> DataFrame:
     """Attach each interval ``[start_sec, end_sec]`` to the blocks of windows it touches.
 
     Windows are cut into blocks by their start, so which blocks an interval reaches
@@ -98,6 +107,8 @@ def place_on_grid(items: DataFrame, lengths: DataFrame, p: WindowParams) -> Data
     placed = reach.unionByName(spans, allowMissingColumns=True).withColumn(
         "block", F.explode(F.sequence("_first", "_last"))
     ).drop("_first", "_last")
+    if tasks is not None:
+        placed = placed.repartition(tasks, "job_id", "block")
     known = F.max("duration_sec").over(Window.partitionBy("job_id", "block"))
     return grid(placed.withColumn("duration_sec", known), p)
 
@@ -209,9 +220,9 @@ def loudest_moment(loudness: DataFrame | None, place) -> DataFrame | None:
     at = F.col("time_sec")
     samples = loudness.select("job_id", at.alias("start_sec"), at.alias("end_sec"), "rms_db")
     best = F.max(F.struct(F.col("rms_db"), (-F.col("start_sec")).alias("neg_time"))).alias("best")
+    placed = place(samples).where("start_sec >= w_start and start_sec < w_end")
     return (
-        place(samples).where("start_sec >= w_start and start_sec < w_end")
-        .groupBy("job_id", "window_no", "w_start", "w_end").agg(best)
+        placed.groupBy("job_id", "window_no", "w_start", "w_end", *_block(placed)).agg(best)
         .select(
             "job_id", "window_no", "w_start", "w_end", F.col("best.rms_db").alias("peak_db"),
             (-F.col("best.neg_time")).alias("peak_time_sec"),
@@ -245,7 +256,7 @@ def phrase_hits(segments: DataFrame, keywords: Sequence[str], place) -> DataFram
     joined = F.array_join(F.transform("words", lambda w: w["word"]), " ")
     relevant = segments.where(F.size("words") > 0).where(tx.keyword_hits(joined, phrases) > 0)
     placed = place(word_rows(relevant)).where(_inside())
-    said = placed.groupBy("job_id", "window_no", "w_start", "w_end", "segment_id", "seg_start").agg(
+    said = placed.groupBy("job_id", "window_no", "w_start", "w_end", "segment_id", "seg_start", *_block(placed)).agg(
         F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("said")
     )
     text = F.array_join(F.transform("said", lambda w: w["word"]), " ")
@@ -255,6 +266,11 @@ def phrase_hits(segments: DataFrame, keywords: Sequence[str], place) -> DataFram
     )
 
 
+def _block(placed: DataFrame) -> list[str]:
+    """The block of windows that rows were dealt by: a window lies in one, so grouping by it too sends nothing anywhere."""
+    return [c for c in ("block",) if c in placed.columns]
+
+
 def _inside() -> Column:
     return (
         (F.col("start_sec") < F.col("w_end")) & (F.col("end_sec") > F.col("w_start"))
@@ -262,8 +278,8 @@ def _inside() -> Column:
     )
 
 
-def _measure(touching: DataFrame, *extra: DataFrame | None) -> DataFrame:
-    """Add up what falls into each span: two grouped passes with map-side combine."""
+def _measure(touching: DataFrame, *extra: DataFrame | None, tasks: int | None = None) -> DataFrame:
+    """Add up what falls into each span, run by run where it lies, then together with what ``extra`` says of the span."""
     span = ["job_id", "window_no", "w_start", "w_end"]
     kind = F.col("kind")
     shared = overlap(F.col("start_sec"), F.col("end_sec"), F.col("w_start"), F.col("w_end"))
@@ -272,33 +288,40 @@ def _measure(touching: DataFrame, *extra: DataFrame | None) -> DataFrame:
     amount = F.coalesce(
         F.col("prorated") * (shared / (F.col("end_sec") - F.col("start_sec"))), F.lit(1.0)
     )
+    dealt = [*span, *_block(touching)]
     rows = touching.where(said | quiet | (kind == "span")).select(
-        *span, "run",
+        *dealt, "run",
         F.when(said, amount).alias("words"),
         F.when(said, F.col("hits")).alias("hits"),
         F.when(said, F.greatest("start_sec", "w_start")).alias("said_from"),
         F.when(said, F.least("end_sec", "w_end")).alias("said_to"),
         F.when(quiet, shared).alias("quiet_sec"),
-        F.lit(None).cast("double").alias("peak_db"), F.lit(None).cast("double").alias("peak_time_sec"),
     )
-    for part in extra:
-        if part is not None:
-            rows = rows.unionByName(part, allowMissingColumns=True)
-    per_run = rows.groupBy(*span, "run").agg(
+    per_run = rows.groupBy(*dealt, "run").agg(
         F.sum("words").alias("words"),
         F.sum("hits").alias("hits"),
         (F.max("said_to") - F.min("said_from")).alias("run_sec"),
         F.sum("quiet_sec").alias("quiet_sec"),
-        F.max("peak_db").alias("peak_db"),
-        F.max("peak_time_sec").alias("peak_time_sec"),
     )
+    per_span = per_run.groupBy(*dealt).agg(
+        F.sum("words").alias("words"), F.sum("hits").alias("hits"), F.max("run_sec").alias("run_sec"),
+        F.sum("quiet_sec").alias("quiet_sec"),
+    ).select(
+        *span, "words", "hits", "run_sec", "quiet_sec",
+        F.lit(None).cast("double").alias("peak_db"), F.lit(None).cast("double").alias("peak_time_sec"),
+    )
+    for part in extra:
+        if part is not None:
+            per_span = per_span.unionByName(part, allowMissingColumns=True)
+    if tasks is not None:
+        per_span = per_span.repartition(tasks, *span)
     length = F.col("w_end") - F.col("w_start")
 
     def share(part: Column) -> Column:
         return F.when(length > 0, F.least(F.lit(1.0), F.coalesce(part, F.lit(0.0)) / length)).otherwise(0.0)
 
     return (
-        per_run.groupBy(*span)
+        per_span.groupBy(*span)
         .agg(
             F.coalesce(F.sum("words"), F.lit(0.0)).alias("words"),
             F.coalesce(F.sum("hits"), F.lit(0)).alias("emotion_hits"),
@@ -357,14 +380,15 @@ def window_metrics(
     shuffled once; what reaches the grouping is numbers only, added up by hash.
     """
     lengths = durations(segments, silence) if lengths is None else lengths
+    tasks = tasks_for(segments)
     items = _sources(segments, silence, p.keywords)
-    runs = with_runs(place_on_grid(items, lengths, p), ["job_id", "block"])
+    runs = with_runs(place_on_grid(items, lengths, p, tasks), ["job_id", "block"])
 
     def place(df: DataFrame) -> DataFrame:
-        return to_windows(place_on_grid(df, lengths, p).where("kind is null"), p)
+        return to_windows(place_on_grid(df, lengths, p, tasks).where("kind is null"), p)
 
     return _measure(
-        to_windows(runs, p), phrase_hits(segments, p.keywords, place), loudest_moment(loudness, place)
+        to_windows(runs, p), phrase_hits(segments, p.keywords, place), loudest_moment(loudness, place), tasks=tasks
     )
 
 
