@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipstride.catalog import SQL, query
 from clipstride.catalog.inputs import Tables, add_view
 from clipstride.operators import captions as cp
-from clipstride.operators.store import fresh_path
+from clipstride.operators.store import fresh_path, written
 from clipstride.sources import captions, results, schemas, tables
 
 
@@ -91,7 +91,7 @@ def caption_documents(t: Tables) -> DataFrame:
 def caption_files(t: Tables) -> DataFrame:
     """Every clip's caption file, written twice and read back: the second write replaces the first."""
     path = fresh_path(t.spark)
-    documents = caption_documents(t)
+    documents = written(caption_documents(t))
     captions.write_caption_files(documents.withColumn("content", F.lit("outdated")), path, 8)
     captions.write_caption_files(documents, path, 8)
     return captions.read_caption_files(t.spark, path)

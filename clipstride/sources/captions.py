@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 SHAPE = "job_id long, candidate_id long, content string, job_bucket int"
 CURRENT = "current"
+#: Names, and whole files, that a task holds at once.
+NAMES, FILES = 10_000, 256
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -81,7 +83,40 @@ def write_caption_files(documents: DataFrame, path: str, buckets: int = 256) ->
     bucket = F.pmod(F.xxhash64("job_id", "candidate_id"), F.lit(buckets)).cast("int")
     rows = documents.where("content <> ''").select(
         F.col("job_id").cast("long"), F.col("candidate_id").cast("long"), "content", bucket.alias("job_bucket"))
-    rows.repartition("job_bucket").write.format("caption_files").mode("append").save(path)
+    # by clip, not by bucket: buckets may be fewer than the cores that write
+    rows.repartition(_tasks(documents.sparkSession), "job_id", "candidate_id").write.format("caption_files").mode("append").save(path)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _named(path: str):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places and names of the files in bucket directories."""
+        files, _ = _opened(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = [f.path for f in files.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".ass")]
+                for at in range(0, len(found), NAMES):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[at : at + NAMES], pa.string())], names=["file"])
+
+    return named
+
+
+def _read(path: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _opened(path)
+        for batch in batches:
+            for at in range(0, len(batch), FILES):
+                some = batch.column("file").slice(at, FILES)
+                content = []
+                for file in some.to_pylist():
+                    with files.open_input_stream(file) as opened:
+                        content.append(opened.read().decode())
+                yield pa.RecordBatch.from_arrays([some, pa.array(content, pa.string())], names=["file", "content"])
+
+    return read
 
 
 def read_caption_files(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +124,10 @@ def read_caption_files(spark: SparkSession, path: str) -> DataFrame:
     files, root = _opened(path)
     with files.open_input_stream(f"{root}/{CURRENT}") as named:
         run = named.read().decode()
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.ass$", 1)
-    found = spark.read.text(f"{path}/{run}/*", wholetext=True).select(F.split(name, "_").alias("ids"), F.col("value").alias("content"))
+    folders = [(f.path,) for f in files.get_file_info(fs.FileSelector(f"{root}/{run}", allow_not_found=True)) if f.type == fs.FileType.Directory]
+    # Spark's own reader counts a small file as 4 MB, so it has a task for every 32 of them
+    named = spark.createDataFrame(folders, "folder string").repartition(max(1, len(folders))).mapInArrow(_named(path), "file string")
+    read = named.repartition(_tasks(spark), "file").mapInArrow(_read(path), "file string, content string")
+    name = F.regexp_extract("file", r"([^/]+)\.ass$", 1)
+    found = read.select(F.split(name, "_").alias("ids"), "content")
     return found.select(F.col("ids")[0].cast("long").alias("job_id"), F.col("ids")[1].cast("long").alias("candidate_id"), "content")

@@ -126,6 +126,17 @@ def test_caption_files_are_written_whole_or_not_at_all(spark, tmp_path):
     assert {tuple(r) for r in captions.read_caption_files(spark, path).collect()} == want
 
 
+def test_many_caption_files_are_few_tasks(spark, tmp_path):
+    from clipstride.sources import captions
+
+    path = str(tmp_path / "captions")
+    clips = spark.range(300).selectExpr("id % 7 as job_id", "id as candidate_id", "concat('c', id, '\n') as content")
+    captions.write_caption_files(clips, path, 2)
+    read = captions.read_caption_files(spark, path)
+    assert read.rdd.getNumPartitions() == 4
+    assert {tuple(r) for r in read.collect()} == {(i % 7, i, f"c{i}\n") for i in range(300)}
+
+
 def test_keyed_state_ends(spark, tmp_path):
     """A mark is remembered over batches, and no longer than it should be by the stream's own time."""
     from clipstride.streaming import state
