@@ -83,9 +83,9 @@ class Tables:
     def loudness(self) -> DataFrame:
         rows = self.events.select(F.col("user_id").alias("job_id"), "us", "event_id", "value")
         day = F.floor(F.col("us") / F.lit(86_400_000_000)).cast("long")
-        return ordinal(rows, ["job_id"], day, [F.col("us"), F.col("event_id")], "j").select(
+        return written(ordinal(rows, ["job_id"], day, [F.col("us"), F.col("event_id")], "j").select(
             "job_id", (F.col("j") * F.lit(3.0)).alias("time_sec"), (-(F.col("value") / 10.0)).alias("rms_db")
-        )
+        ))
 
     def _second(self, modulus: int):
         return (F.floor(F.col("us") / F.lit(1_000_000)).cast("long") % modulus).cast("double")

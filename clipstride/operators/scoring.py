@@ -12,9 +12,11 @@ from clipstride.operators.greedy import keep_disjoint, keep_spaced
 from clipstride.operators.store import written
 from clipstride.operators.snap import HOOK_LEAD_IN_SEC, MIN_CLIP_SEC, shift_to_peak
 from clipstride.operators.windows import (
+    Heard,
     WindowParams,
     durations,
     excerpts,
+    heard,
     span_metrics,
     window_metrics,
 )
@@ -126,13 +128,15 @@ def clip_candidates(
     """The heuristic detector: windows, scores, selection, hook shift, final scores."""
     w = p.windows
     lengths = durations(segments, silence) if lengths is None else lengths
-    metrics = written(window_metrics(segments, silence, loudness, w, lengths))
+    # windows and clips are measured by the same words, whose hits are counted once
+    found = Heard(*[part if part is None else written(part) for part in heard(segments, silence, w.keywords)])
+    metrics = written(window_metrics(segments, silence, loudness, w, lengths, found))
     norms = normalisers(metrics)
     chosen = select_non_overlapping(
         with_score(metrics, norms), w, top_n=p.top_n, min_overlap_ratio=p.min_overlap_ratio
     )
     shifted = written(shift_to_peak(chosen, segments, silence, p.lead_in_sec, p.min_clip_sec))
-    return rescore(shifted, norms, segments, silence, loudness, w)
+    return rescore(shifted, norms, segments, silence, loudness, w, found)
 
 
 def rescore(
@@ -142,11 +146,12 @@ def rescore(
     silence: DataFrame,
     loudness: DataFrame | None,
     p: WindowParams = WindowParams(),
+    found: Heard | None = None,
 ) -> DataFrame:
     """Measure each clip from its shifted start, against the recording's extremes."""
     spans = shifted.select("job_id", "window_no", F.col("clip_start").alias("w_start"), "w_end")
     again = with_score(
-        span_metrics(spans, segments, silence, loudness, p.keywords, p.window_sec), norms
+        span_metrics(spans, segments, silence, loudness, p.keywords, p.window_sec, found), norms
     ).select("job_id", "window_no", F.col("total_score").alias("clip_score"))
     said = excerpts(spans.withColumnRenamed("window_no", "span_id"), segments, p.window_sec)
     moved = F.col("clip_start") > F.col("w_start")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from clipstride.operators.joins import interval_join
 WORD_GAP_SEC = 0.6
 # Windows are worked on in blocks of this length, so a long recording is many tasks.
 BLOCK_SEC = 600.0
-# Words of one task, about: more of them make more tasks, not larger ones.
-TASK_WORDS = 400_000
+# Words (or loudness samples) of one task, about: more of them make more tasks, not larger ones.
+TASK_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,11 @@ def sliding_windows(lengths: DataFrame, p: WindowParams) -> DataFrame:
 def tasks_for(segments: DataFrame) -> int:
     """How many tasks the words of ``segments`` are dealt to."""
     words = segments.agg(F.sum(F.greatest(F.lit(1), F.size("words")))).first()[0] or 0
-    return max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / TASK_WORDS))
+    return _tasks(segments, words)
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_WORDS))
 
 
 def place_on_grid(items: DataFrame, lengths: DataFrame, p: WindowParams, tasks: int | None = None) -> DataFrame:
@@ -245,17 +250,34 @@ def with_runs(items: DataFrame, within: Sequence[str], gap: float = WORD_GAP_SEC
     return reach.withColumn("run", F.when(speech, run)).drop("_until")
 
 
-def phrase_hits(segments: DataFrame, keywords: Sequence[str], place) -> DataFrame | None:
+def _phrases(keywords: Sequence[str]) -> list[str]:
+    return [k for k in tx.clean_keywords(keywords) if len(k.split()) > 1]
+
+
+class Heard(NamedTuple):
+    """What spans are measured by: speech and silence, and the segments that hold a keyword of several words (if there are such)."""
+
+    items: DataFrame
+    phrased: DataFrame | None
+
+
+def heard(segments: DataFrame, silence: DataFrame | None, keywords: Sequence[str]) -> Heard:
+    items = _sources(segments, silence, keywords)
+    if not (phrases := _phrases(keywords)):
+        return Heard(items, None)
+    joined = F.array_join(F.transform("words", lambda w: w["word"]), " ")
+    return Heard(items, segments.where(F.size("words") > 0).where(tx.keyword_hits(joined, phrases) > 0))
+
+
+def phrase_hits(phrased: DataFrame | None, keywords: Sequence[str], place) -> DataFrame | None:
     """Hits of keywords of several words, which need the text of each span.
 
     Only segments that contain such a phrase at all are looked at.
     """
-    phrases = [k for k in tx.clean_keywords(keywords) if len(k.split()) > 1]
-    if not phrases:
+    if phrased is None:
         return None
-    joined = F.array_join(F.transform("words", lambda w: w["word"]), " ")
-    relevant = segments.where(F.size("words") > 0).where(tx.keyword_hits(joined, phrases) > 0)
-    placed = place(word_rows(relevant)).where(_inside())
+    phrases = _phrases(keywords)
+    placed = place(word_rows(phrased)).where(_inside())
     said = placed.groupBy("job_id", "window_no", "w_start", "w_end", "segment_id", "seg_start", *_block(placed)).agg(
         F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("said")
     )
@@ -349,6 +371,7 @@ def span_metrics(
     loudness: DataFrame | None,
     keywords: Sequence[str] = (),
     width: float = 30.0,
+    found: Heard | None = None,
 ) -> DataFrame:
     """Metrics of arbitrary spans ``(job_id, window_no, w_start, w_end)``, such as clips."""
 
@@ -357,12 +380,13 @@ def span_metrics(
             df, spans, ["job_id"], ("start_sec", "end_sec"), ("w_start", "w_end"), width=width, closed=True
         )
 
-    touching = place(_sources(segments, silence, keywords))
+    found = found or heard(segments, silence, keywords)
+    touching = place(found.items)
     own = spans.select("job_id", "window_no", "w_start", "w_end").withColumn("kind", F.lit("span"))
     runs = with_runs(touching, ["job_id", "window_no"])
     return _measure(
         runs.unionByName(own, allowMissingColumns=True),
-        phrase_hits(segments, keywords, place),
+        phrase_hits(found.phrased, keywords, place),
         loudest_moment(loudness, place),
     )
 
@@ -373,6 +397,7 @@ def window_metrics(
     loudness: DataFrame | None,
     p: WindowParams = WindowParams(),
     lengths: DataFrame | None = None,
+    found: Heard | None = None,
 ) -> DataFrame:
     """Metrics of every sliding window of every recording.
 
@@ -381,14 +406,16 @@ def window_metrics(
     """
     lengths = durations(segments, silence) if lengths is None else lengths
     tasks = tasks_for(segments)
-    items = _sources(segments, silence, p.keywords)
-    runs = with_runs(place_on_grid(items, lengths, p, tasks), ["job_id", "block"])
+    of_samples = tasks if loudness is None else _tasks(loudness, loudness.count())
+    found = found or heard(segments, silence, p.keywords)
+    runs = with_runs(place_on_grid(found.items, lengths, p, tasks), ["job_id", "block"])
 
-    def place(df: DataFrame) -> DataFrame:
+    def place(df: DataFrame, tasks: int = tasks) -> DataFrame:
         return to_windows(place_on_grid(df, lengths, p, tasks).where("kind is null"), p)
 
     return _measure(
-        to_windows(runs, p), phrase_hits(segments, p.keywords, place), loudest_moment(loudness, place), tasks=tasks
+        to_windows(runs, p), phrase_hits(found.phrased, p.keywords, place),
+        loudest_moment(loudness, lambda samples: place(samples, of_samples)), tasks=max(tasks, of_samples),
     )
 
 

@@ -47,8 +47,7 @@ def detect_routed(
     numbered = parsed.withColumn("moment_id", F.struct("response_no", "pos"))
     merged = written(mo.merge_moments(numbered, ["response_no", "pos"]))
     from_answers = mo.moments_to_candidates(merged, segments, settings.top_n).drop("moment_id")
-    rest = [df.join(usable, "job_id", "left_anti") for df in (segments, silence)]
-    other = loudness.join(usable, "job_id", "left_anti") if loudness is not None else None
-    heuristic = scoring.clip_candidates(written(rest[0]), rest[1], other, settings)
+    rest = [df if df is None else written(df.join(usable, "job_id", "left_anti")) for df in (segments, silence, loudness)]
+    heuristic = scoring.clip_candidates(*rest, settings)
     found = from_answers.withColumn("path", F.lit("answers")).unionByName(heuristic.withColumn("path", F.lit("heuristic")))
     return scoring.candidate_gate(written(found)) if gated else found

@@ -1,6 +1,6 @@
 """Windows over more words are more tasks, and what was dealt once is not sent again."""
 
-from clipstride.operators import windows
+from clipstride.operators import scoring, windows
 from clipstride.sources import schemas
 
 
@@ -20,3 +20,27 @@ def test_tasks_of_windows_grow_with_the_words(spark, monkeypatch):
         windows._sources(segs, quiet, p.keywords), windows.durations(segs, quiet), p, 9), ["job_id", "block"]), p), tasks=9)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" in text
+
+
+def test_tasks_of_samples_grow_with_the_samples(spark, monkeypatch):
+    segs = spark.createDataFrame([(1, 0, 0.0, 300.0, "x", 1, [("w", 0.0, 300.0)])], schemas.SEGMENTS)
+    quiet = spark.createDataFrame([(1, 5.0, 6.0, 1.0)], schemas.SILENCE)
+    loud = spark.createDataFrame([(1 + k % 3, float(k), -float(k % 50)) for k in range(300)], "job_id long, time_sec double, rms_db double")
+    few = sorted(windows.window_metrics(segs, quiet, loud).collect())
+    own = [(r.time_sec, r.rms_db) for r in loud.where("job_id = 1").collect()]
+    assert len(few) == 55 and all(r.peak_db == max(db for at, db in own if r.w_start <= at < r.w_end) for r in few)
+    monkeypatch.setattr(windows, "TASK_WORDS", 30)
+    many = windows.window_metrics(segs, quiet, loud)
+    text = many._jdf.queryExecution().executedPlan().toString()
+    assert many.rdd.getNumPartitions() == 10 and ", 10), REPARTITION_BY_NUM" in text and ", 4), REPARTITION_BY_NUM" in text
+    assert sorted(many.collect()) == few
+
+
+def test_candidates_read_the_words_of_windows_and_clips_once(spark, monkeypatch):
+    segs = spark.createDataFrame([(1, 0, 0.0, 90.0, "x", 1, [("of", 0.0, 30.0), ("the", 30.0, 90.0)])], schemas.SEGMENTS)
+    quiet = spark.createDataFrame([(1, 5.0, 6.0, 1.0)], schemas.SILENCE)
+    loud = spark.createDataFrame([(1, float(k), -float(k % 50)) for k in range(90)], "job_id long, time_sec double, rms_db double")
+    calls, spoken = [], windows.spoken_intervals
+    monkeypatch.setattr(windows, "spoken_intervals", lambda *a: calls.append(1) or spoken(*a))
+    rows = scoring.clip_candidates(segs, quiet, loud, scoring.DetectorParams(windows.WindowParams(keywords=("the", "of the")))).collect()
+    assert len(calls) == 1 and rows and all(r.end_sec > r.start_sec for r in rows)
