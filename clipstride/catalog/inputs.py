@@ -6,6 +6,7 @@ with the same columns.  FIXTURES.md describes them.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cached_property
 
@@ -18,6 +19,8 @@ from clipstride.operators.store import written
 KEYWORDS = ("the", "que", "und", "of the")
 WORD_MS = 400
 PAUSE_MS = 1500
+#: Bytes of text, and events, that one task puts in order, about: more of them make more tasks, not larger ones.
+TASK_BYTES, TASK_EVENTS = 4_000_000, 250_000
 
 
 class Tables:
@@ -35,9 +38,10 @@ class Tables:
             F.col("conv_id").alias("job_id"), F.col("turn").alias("segment_id"), text.alias("text"),
             F.filter(F.split(text, r"\s+"), lambda t: t != "").alias("tokens"),
         ).withColumn("n", F.size("tokens").cast("long"))
+        size = self.table("conversations").agg(F.sum(F.octet_length("text"))).first()[0] or 0
         return written(
             running(
-                rows, ["job_id"], F.floor(F.col("segment_id") / 256), [F.col("segment_id")],
+                rows, ["job_id"], F.floor(F.col("segment_id") / 256), [F.col("segment_id")], math.ceil(size / TASK_BYTES),
                 start_ms=Running("sum", F.col("n") * WORD_MS + PAUSE_MS),
             )
         )
@@ -83,7 +87,8 @@ class Tables:
     def loudness(self) -> DataFrame:
         rows = self.events.select(F.col("user_id").alias("job_id"), "us", "event_id", "value")
         day = F.floor(F.col("us") / F.lit(86_400_000_000)).cast("long")
-        return written(ordinal(rows, ["job_id"], day, [F.col("us"), F.col("event_id")], "j").select(
+        tasks = math.ceil(self.table("events").count() / TASK_EVENTS)
+        return written(ordinal(rows, ["job_id"], day, [F.col("us"), F.col("event_id")], "j", tasks).select(
             "job_id", (F.col("j") * F.lit(3.0)).alias("time_sec"), (-(F.col("value") / 10.0)).alias("rms_db")
         ))
 

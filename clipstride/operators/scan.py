@@ -31,17 +31,25 @@ def time_bucket(position: Column, width: float) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
+def dealt(df: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """``df`` dealt to ``tasks`` by these columns, where a shuffle would make fewer."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by) if tasks > usual else df
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     bucket: Column,
     order: Sequence[Column],
+    tasks: int = 0,
     **columns: Running,
 ) -> DataFrame:
     """Add running aggregates over ``keys`` in ``order``.
 
     ``bucket`` must be non-decreasing along ``order`` and ``order`` must be total
     within a key.  Exclusive values are null (max, min) or 0 (sum) on the first row.
+    Rows are sorted in ``tasks`` tasks if a shuffle has fewer.
     """
     keys = list(keys)
     cut = [*keys, "_bucket"]
@@ -61,7 +69,7 @@ def running(
         *cut,
         *[_AGG[a.kind](f"_t_{n}").over(before).alias(f"_c_{n}") for n, a in columns.items()],
     )
-    out = rows.join(carried, cut)
+    out = dealt(rows, tasks, *cut).join(carried, cut)
     for name, agg in columns.items():
         local = (
             Window.partitionBy(*cut)
@@ -88,9 +96,10 @@ def ordinal(
     bucket: Column,
     order: Sequence[Column],
     name: str = "ordinal",
+    tasks: int = 0,
 ) -> DataFrame:
     """0-based position of each row inside its key."""
-    return running(df, keys, bucket, order, **{name: Running("sum", F.lit(1).cast("long"))})
+    return running(df, keys, bucket, order, tasks, **{name: Running("sum", F.lit(1).cast("long"))})
 
 
 def islands(

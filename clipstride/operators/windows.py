@@ -23,7 +23,7 @@ from clipstride.operators.joins import interval_join
 WORD_GAP_SEC = 0.6
 # Windows are worked on in blocks of this length, so a long recording is many tasks.
 BLOCK_SEC = 600.0
-# Words (or loudness samples) of one task, about: more of them make more tasks, not larger ones.
+# Words (or loudness samples, or windows) of one task, about: more of them make more tasks, not larger ones.
 TASK_WORDS = 100_000
 
 
@@ -84,10 +84,11 @@ def sliding_windows(lengths: DataFrame, p: WindowParams) -> DataFrame:
 def tasks_for(segments: DataFrame) -> int:
     """How many tasks the words of ``segments`` are dealt to."""
     words = segments.agg(F.sum(F.greatest(F.lit(1), F.size("words")))).first()[0] or 0
-    return _tasks(segments, words)
+    return tasks_of(segments, words)
 
 
-def _tasks(df: DataFrame, rows: int) -> int:
+def tasks_of(df: DataFrame, rows: int) -> int:
+    """How many tasks so many rows are dealt to."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_WORDS))
 
 
@@ -406,7 +407,7 @@ def window_metrics(
     """
     lengths = durations(segments, silence) if lengths is None else lengths
     tasks = tasks_for(segments)
-    of_samples = tasks if loudness is None else _tasks(loudness, loudness.count())
+    of_samples = tasks if loudness is None else tasks_of(loudness, loudness.count())
     found = found or heard(segments, silence, p.keywords)
     runs = with_runs(place_on_grid(found.items, lengths, p, tasks), ["job_id", "block"])
 

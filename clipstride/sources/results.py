@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipstride.operators.scan import time_bucket
+from clipstride.operators.scan import dealt, time_bucket
+from clipstride.operators.windows import tasks_for
 from clipstride.sources import schemas
 
 PART_SEC = 600.0
@@ -101,7 +102,8 @@ def nested_results(
     """Results as nested documents with ordered arrays, in parts of ``part_sec``.
 
     A recording of any length becomes documents of bounded size; ``result_tables``
-    reads them back.  All rows are grouped once.
+    reads them back.  All rows are grouped once, in as many tasks as the words need;
+    documents pass by a table of the lengths, so they are not sorted again.
     """
     camel = F.transform(
         F.col("words"),
@@ -128,8 +130,9 @@ def nested_results(
     every = None
     for df in sources.values():
         every = df if every is None else every.unionByName(df, allowMissingColumns=True)
-    parts = every.groupBy("job_id", "part").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in sources])
-    return parts.join(lengths, "job_id").select(
+    rows_of = dealt(every, tasks_for(segments), "job_id", "part")
+    parts = rows_of.groupBy("job_id", "part").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in sources])
+    return parts.join(lengths.hint("shuffle_hash"), "job_id").select(
         F.col("job_id").alias("jobId"), "part", F.col("duration_sec").alias("durationSec"), *sources
     )
 
