@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipstride.operators.joins import interval_join
-from clipstride.operators.scan import time_bucket
+from clipstride.operators.scan import dealt, time_bucket
 from clipstride.operators.store import written
 
 #: Rows of other blocks that a block may depend on for it to be told as a table of all their fates; growth of the blocks.
@@ -182,12 +182,13 @@ def dropped(nodes: DataFrame, pairs: DataFrame, keys: Sequence[str], width: floa
     return nodes.select("_id").limit(0) if out is None else out
 
 
-def _best(df: DataFrame, keys: Sequence[str], at: dict[str, Column], priority: Sequence[Column]) -> DataFrame:
+def _best(df: DataFrame, keys: Sequence[str], at: dict[str, Column], priority: Sequence[Column], tasks: int) -> DataFrame:
     """The best row per place, with an id, its priority and the whole row."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
-    best = df.groupBy(*keys, *[c.alias(n) for n, c in at.items()]).agg(
-        F.min(F.struct(F.struct(*priority).alias("p"), F.struct(*rest).alias("row"))).alias("_best"))
     names = list(at)
+    placed = df.select(
+        *keys, *[c.alias(n) for n, c in at.items()], F.struct(F.struct(*priority).alias("p"), F.struct(*rest).alias("row")).alias("_best"))
+    best = dealt(placed, tasks, *keys, *names).groupBy(*keys, *names).agg(F.min("_best").alias("_best"))
     return written(best.select(*keys, *names, F.struct("_best.p", *names).alias("_order"), "_best.row").withColumn("_id", F.monotonically_increasing_id()))
 
 
@@ -221,6 +222,7 @@ def keep_spaced(
     *,
     strict: bool,
     width: float = 600.0,
+    tasks: int = 0,
 ) -> DataFrame:
     """Keep rows greedily by ascending ``priority``; two kept rows are never near.
 
@@ -229,16 +231,18 @@ def keep_spaced(
     * rows at the same position exclude each other, so only the best is carried on;
     * a row better than everything within ``reach`` is certainly kept and drops all of that;
     * what is left, plateaus of equal rows say, is settled by its conflicts (``dropped``).
+
+    Rows are sorted in ``tasks`` tasks if a shuffle has fewer.
     """
     keys = list(keys)
-    best = _best(df, keys, {"_pos": F.col(position).cast("double")}, priority)
+    best = _best(df, keys, {"_pos": F.col(position).cast("double")}, priority, tasks)
     reach_out = reach + 1e-6  # a wider look only makes fewer peaks
 
     def around(rows: DataFrame, value: str, name: str) -> DataFrame:
         """Add the least ``value`` within reach; rows near the edge of a cell are looked at in both."""
         home = time_bucket(F.col("_pos"), width)
         cells = F.sequence(time_bucket(F.col("_pos") - reach_out, width), time_bucket(F.col("_pos") + reach_out, width))
-        near = rows.withColumn("_home", home).withColumn("_cell", F.explode(cells))
+        near = dealt(rows.withColumn("_home", home).withColumn("_cell", F.explode(cells)), tasks, *keys, "_cell")
         over = (f"{value} over (partition by {', '.join([*keys, '_cell'])} order by _pos "
                 f"range between {reach_out:.6f}D preceding and {reach_out:.6f}D following)")
         return near.withColumn(name, F.expr(over)).where("_cell = _home").drop("_cell", "_home")
@@ -277,15 +281,16 @@ def keep_disjoint(
     conflict: Callable[[Mapping[str, Column], Mapping[str, Column]], Column],
     *,
     width: float = 600.0,
+    tasks: int = 0,
 ) -> DataFrame:
     """Keep intervals greedily; ``conflict(kept, candidate)`` sees ``["s"]`` and ``["e"]``.
 
     Intervals that do not overlap may never conflict, and a conflict holds both ways.  Of equal
     intervals only the best is carried on: a caller's rule must let an interval conflict with
-    its own copy.
+    its own copy.  Rows are sorted in ``tasks`` tasks if a shuffle has fewer.
     """
     keys = list(keys)
-    best = _best(df, keys, {"_s": F.col(start).cast("double"), "_e": F.col(end).cast("double")}, priority)
+    best = _best(df, keys, {"_s": F.col(start).cast("double"), "_e": F.col(end).cast("double")}, priority, tasks)
     left, right = _sides(best, keys, ["_id", "_s", "_e", "_order"])
     met = interval_join(left, right, keys, ("_s1", "_e1"), ("_s2", "_e2")).where("_id1 < _id2")
     rule = conflict({"s": F.col("_s1"), "e": F.col("_e1")}, {"s": F.col("_s2"), "e": F.col("_e2")})

@@ -18,6 +18,7 @@ from clipstride.operators.windows import (
     excerpts,
     heard,
     span_metrics,
+    tasks_of,
     window_metrics,
 )
 
@@ -43,7 +44,10 @@ def normalisers(metrics: DataFrame) -> DataFrame:
 
 
 def with_score(metrics: DataFrame, norms: DataFrame) -> DataFrame:
-    """Add ``loudness`` (0..1) and ``total_score``."""
+    """Add ``loudness`` (0..1) and ``total_score``.
+
+    Windows pass by a table of their recordings' extremes, so a task sorts none of them.
+    """
 
     def ratio(part: str, whole: str) -> Column:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
@@ -65,7 +69,7 @@ def with_score(metrics: DataFrame, norms: DataFrame) -> DataFrame:
         + v["continuity"] * F.col("continuity_score")
     )
     return (
-        metrics.join(norms, "job_id")
+        metrics.join(norms.hint("shuffle_hash"), "job_id")
         .withColumn("loudness", F.round(loud, 6))
         .withColumn("total_score", F.round(total, 6))
         .drop("max_density", "max_hits", "min_db", "range_db", "has_loudness")
@@ -89,9 +93,12 @@ def select_non_overlapping(
         kept = keep_disjoint(
             scored, ["job_id"], "w_start", "w_end", priority,
             lambda k, x: overlap_ratio(k["s"], k["e"], x["s"], x["e"]) > min_overlap_ratio,
+            tasks=tasks_of(scored, scored.count()),
         )
     else:
-        kept = keep_spaced(scored, ["job_id"], "w_start", priority, p.window_sec, strict=True)
+        kept = keep_spaced(
+            scored, ["job_id"], "w_start", priority, p.window_sec, strict=True, tasks=tasks_of(scored, scored.count())
+        )
     if top_n is None:
         return kept
     order = Window.partitionBy("job_id").orderBy(F.desc("total_score"), "w_start", "w_end")
