@@ -20,7 +20,7 @@ KEYWORDS = ("the", "que", "und", "of the")
 WORD_MS = 400
 PAUSE_MS = 1500
 #: Bytes of text, and events, that one task puts in order, about: more of them make more tasks, not larger ones.
-TASK_BYTES, TASK_EVENTS = 4_000_000, 250_000
+TASK_BYTES, TASK_EVENTS = 16_000_000, 250_000
 
 
 class Tables:

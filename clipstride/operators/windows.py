@@ -88,8 +88,14 @@ def tasks_for(segments: DataFrame) -> int:
 
 
 def tasks_of(df: DataFrame, rows: int) -> int:
-    """How many tasks so many rows are dealt to."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_WORDS))
+    """How many tasks so many rows are dealt to.
+
+    A task that deals rows to more tasks than ``spark.shuffle.sort.bypassMergeThreshold`` keeps them in memory, and
+    that grows with what it reads: beyond that number tasks become up to eight times as large before there are more.
+    """
+    conf = df.sparkSession.conf
+    usual, direct = int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(usual, min(direct, math.ceil(rows / TASK_WORDS)), math.ceil(rows / (8 * TASK_WORDS)))
 
 
 def place_on_grid(items: DataFrame, lengths: DataFrame, p: WindowParams, tasks: int | None = None) -> DataFrame:

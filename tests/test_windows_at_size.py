@@ -106,3 +106,9 @@ def test_places_are_counted_in_as_many_tasks_as_asked(spark):
     many = ordinal(rows, ["k"], F.floor(F.col("at") / 50), [F.col("at")], "n", 9)
     assert many.rdd.getNumPartitions() == 9
     assert sorted(many.collect()) == sorted(few.collect()) and all(r.n == r.at // 3 for r in many.collect())
+
+
+def test_no_more_tasks_than_rows_are_dealt_to_directly_while_these_stay_small(spark, monkeypatch):
+    rows = spark.range(1)
+    monkeypatch.setattr(windows, "TASK_WORDS", 10)
+    assert [windows.tasks_of(rows, n) for n in (0, 30, 1_500, 2_001, 16_000, 16_001, 80_000)] == [4, 4, 150, 200, 200, 201, 1000]
